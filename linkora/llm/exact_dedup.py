@@ -35,11 +35,14 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
+    def unknown(self, firsts: DataFrame) -> DataFrame:
+        """The (digest, keep_id) rows whose digest the index lacks, by buckets: a sort-merge anti-join that moves only ``firsts``."""
+        rows = firsts.select("digest", "keep_id").repartition(self.buckets, "digest")
+        return rows.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+
     def append(self, firsts: DataFrame) -> None:
-        """Add the (digest, keep_id) rows whose digest is new. Repeating a batch adds nothing."""
-        known = self.rows().select("digest")
-        fresh = firsts.select("digest", "keep_id").join(known.hint("merge"), "digest", "left_anti")
-        fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
+        """Add what is unknown. Repeating a batch adds nothing."""
+        self.unknown(firsts).write.insertInto(self.name)
 
     def plain(self) -> DataFrame:
         """The same rows without bucketing, so that a join with hot digests can be split."""

@@ -167,16 +167,19 @@ def memo_of(pickled: bytes) -> _Memo:
 
 
 def decide(model: LanguageModel, totals: list[int]) -> tuple[str, float]:
-    """(language, score): the fewest phrases, weighted by the bits that point at one; ties by rarity of the words, then by name.
+    """(language, score): the fewest phrases, weighted by the bits that point at one.
+
+    A tenth of the words' rarity (bits of their training frequency) decides where phrases are near a tie, as
+    with a word or two that several languages have; what is left of ties goes by name.
 
     The score is 1 less the ratio of the best to the next, 1 with one language only, 0 after a tie.
     """
     if not totals[0] or not model.languages:
         return UNDETERMINED, 0.0
-    ranked = sorted((totals[1 + 2 * k] * x.weight, totals[2 + 2 * k], x.name) for k, x in enumerate(model.languages))
+    ranked = sorted((totals[1 + 2 * k] * x.weight + totals[2 + 2 * k] / 160, x.name) for k, x in enumerate(model.languages))
     if len(ranked) == 1:
-        return ranked[0][2], 1.0
-    (best, _, name), (second, _, _) = ranked[:2]
+        return ranked[0][1], 1.0
+    (best, name), (second, _) = ranked[:2]
     return name, 1 - best / second
 
 
