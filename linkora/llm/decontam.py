@@ -36,7 +36,7 @@ class TestSet:
     items: list[list[str]]
 
 
-def windows_of(benchmark: DataFrame, length: int = 13, most_bytes: int = 64 << 20) -> list[TestSet]:
+def windows_of(benchmark: DataFrame, length: int = 13, most_bytes: int = 4 << 20) -> list[TestSet]:
     """The distinct windows of ``length`` words of all items (item_id, text); an item of fewer words is one window.
 
     Items are taken in blocks of ``most_bytes`` of text, a test set each, so that what is sent to the
@@ -133,7 +133,7 @@ class Plan:
 def plan_of(tests: TestSet, counts: np.ndarray) -> Plan:
     lengths = np.array([len(t) for t in tests.terms], np.int64)
     width = int(lengths.max())
-    terms, offsets = np.zeros((len(lengths), width), np.int64), np.zeros((len(lengths), width), np.int64)
+    terms, offsets = np.zeros((len(lengths), width), np.int32), np.zeros((len(lengths), width), np.int32)
     for i, window in enumerate(tests.terms):
         order = sorted(range(len(window)), key=lambda k: (counts[window[k]], k))
         order += [order[-1]] * (width - len(order))
@@ -159,7 +159,7 @@ def intersect(plan: Plan, terms: np.ndarray, places: np.ndarray, span: int) -> t
     for k in range(1, plan.terms.shape[1]):
         if not len(window):
             break
-        wanted = plan.terms[window, k] * span + start + plan.offsets[window, k]
+        wanted = plan.terms[window, k].astype(np.int64) * span + start + plan.offsets[window, k]
         at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
         keep = key[at] == wanted
         window, start = window[keep], start[keep]
@@ -178,7 +178,7 @@ def near(plan: Plan, terms: np.ndarray, places: np.ndarray, span: int, rarest: i
     for k in range(1, min(rarest, plan.terms.shape[1])):
         if not len(window):
             break
-        wanted = plan.terms[window, k] * span + place - plan.offsets[window, 0] + plan.offsets[window, k]
+        wanted = plan.terms[window, k].astype(np.int64) * span + place - plan.offsets[window, 0] + plan.offsets[window, k]
         keep = np.searchsorted(key, wanted + slop, "right") > np.searchsorted(key, wanted - slop)
         window, place = window[keep], place[keep]
     return window, place
@@ -246,7 +246,7 @@ def _joined(ranges: list) -> list:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: float = 0.05, most_bytes: int = 64 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: float = 0.05, most_bytes: int = 4 << 20) -> DataFrame:
     """Words of whole ``docs`` (doc_id, text) inside windows of ``benchmark`` (item_id, text).
 
     Returns a row for each input row: doc_id, row, n_words, n_hit, n_near, items, spans, n_items,

@@ -10,18 +10,16 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def splitters(keys: DataFrame, ranges: int, per_range: int = 16) -> list[tuple[int, int]]:
-    """``ranges - 1`` quantile boundaries of (h, h2), from ``ranges * per_range`` keys drawn with weight ``size``.
+def splitters(keys: DataFrame, ranges: int, total: int, per_range: int = 16) -> list[tuple[int, int]]:
+    """At most ``ranges - 1`` quantile boundaries of (h, h2), from about ``ranges * per_range`` keys drawn with weight ``size``.
 
-    A draw without replacement by weight keeps the smallest ``-ln(u) / size``, u being a hash of the key;
-    only those keys reach the driver, and each executor passes on as many at most. A boundary whose hash is
-    drawn for one boundary alone moves ahead of that hash's rows; a hash that fills whole ranges keeps its
-    inner boundaries, which subdivide it.
+    A key is drawn if ``-ln(u) / size`` is below a threshold, u being a hash of the key and ``total`` the sum of
+    sizes: each task decides alone, and the driver gets about that many keys whatever the input's size. A
+    boundary whose hash is drawn for one boundary alone moves ahead of that hash's rows; a hash that fills
+    whole ranges keeps its inner boundaries, which subdivide it.
     """
-    n = ranges * per_range
     u = (F.pmod(F.xxhash64("h", "h2", F.lit(7)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = keys.select("h", "h2", (-F.log(u) / F.col("size")).alias("rank")).orderBy("rank", "h", "h2").limit(n).select("h", "h2").collect()
-    drawn = sorted((r.h, r.h2) for r in drawn)
+    drawn = sorted((r.h, r.h2) for r in keys.filter(-F.log(u) / F.col("size") < ranges * per_range / max(1, total)).select("h", "h2").collect())
     chosen = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
     of_hash: dict[int, int] = {}
     for h, _ in chosen:
@@ -41,7 +39,7 @@ def range_of(h: np.ndarray, h2: np.ndarray, at: list[tuple[int, int]]) -> np.nda
     return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 100_000, together: float = 0.01) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 100_000, most_ranges: int = 20_000, together: float = 0.01) -> DataFrame:
     """Put whole ``docs`` (doc_id, text) into ``shards`` shards of near-equal size.
 
     Size is the text's UTF-8 bytes (null: none) plus 1. Returns doc_id, size, text_crc32, law (``bytes``),
@@ -50,7 +48,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 100_
     most ``together`` of a shard stays in one shard, a larger one is divided. Null and repeated ids and
     rows are placed like others; an empty table gives no rows; other columns are ignored.
 
-    Exact sizes of the ranges set where each begins, so no task orders more than about one range.
+    Exact sizes of the ranges set where each begins, so no task orders more than about one range, of
+    ``rows_per_range`` rows of numbers or, beyond ``most_ranges`` ranges, more.
     """
     text = F.col("text").cast("string")
     rows = docs.select(
@@ -58,9 +57,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 100_
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("row"),
     )
     rows = staged(rows.withColumn("h2", F.xxhash64("doc_id", "row")), "sizes")
-    n_rows = rows.count()
-    ranges = max(8 * shards, -(-n_rows // rows_per_range))
-    at = splitters(rows, ranges)
+    n_rows, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = max(8 * shards, min(most_ranges, -(-n_rows // rows_per_range)))
+    at = splitters(rows, ranges, size)
 
     @F.pandas_udf("int")
     def place(h: pd.Series, h2: pd.Series) -> pd.Series:

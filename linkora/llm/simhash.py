@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import bounded_batches, splitmix64, staged
 from .components import components
 
 #: Each half of a fingerprint is covered by the [31,26] Hamming code (radius 1) and one free bit.
@@ -160,8 +160,18 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def near_links(classes: DataFrame, bits: int = 3) -> DataFrame:
-    """(a, b) links among distinct fingerprints (column fp) that connect all within ``bits`` (at most 3) bits."""
+def _sub_keys(anchor: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four rows for each: the anchor mixed with each 16-bit block of the fingerprint, one of which a pair within 3 bits shares."""
+    keys = [splitmix64(anchor.view(np.uint64) ^ splitmix64((fps >> np.uint64(at)) & np.uint64(0xFFFF) | np.uint64(at << 32))) for at in range(0, 64, 16)]
+    return np.concatenate(keys).view(np.int64), np.tile(fps, 4)
+
+
+def near_links(classes: DataFrame, bits: int = 3, heavy: int = 50_000) -> DataFrame:
+    """(a, b) links among distinct fingerprints (column fp) that connect all within ``bits`` (at most 3) bits.
+
+    An anchor of over ``heavy`` fingerprints is divided by the fingerprints' 16-bit blocks before it is compared,
+    so that it is spread over tasks; with at most 3 bits apart one of four blocks agrees.
+    """
     if not 0 <= bits <= 3:
         raise ValueError("the covering holds for up to 3 bits")
 
@@ -172,6 +182,11 @@ def near_links(classes: DataFrame, bits: int = 3) -> DataFrame:
                 keys, rows = anchors(fps, half)
                 yield pa.record_batch([pa.array(keys), pa.array(rows.view(np.int64))], names=["anchor", "fp"])
 
+    def divide(batches):
+        for batch in batches:
+            keys, fps = _sub_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64))
+            yield pa.record_batch([pa.array(keys), pa.array(fps.view(np.int64))], names=["anchor", "fp"])
+
     def compare(batches):
         keys, fps = [], []
         for batch in batches:
@@ -181,7 +196,17 @@ def near_links(classes: DataFrame, bits: int = 3) -> DataFrame:
             found = np.array(forest(compare_per_anchor(np.concatenate(keys), np.concatenate(fps), bits)), dtype=np.uint64).reshape(-1, 2)
             yield pa.record_batch([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64))], names=["a", "b"])
 
-    return classes.select("fp").mapInArrow(replicate, "anchor long, fp long").repartition("anchor").mapInArrow(compare, "a long, b long")
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition("anchor").mapInArrow(compare, "a long, b long")
+
+    spread = classes.select("fp").mapInArrow(replicate, "anchor long, fp long")
+    if classes.count() <= heavy:  # no anchor can hold more
+        return compared(spread)
+    many = staged(spread.groupBy("anchor").count().filter(F.col("count") > heavy).select("anchor"), "heavy-anchors")
+    if many.isEmpty():
+        return compared(spread)
+    light, dense = spread.join(many, "anchor", "left_anti"), spread.join(many, "anchor", "left_semi")
+    return compared(light).unionByName(compared(dense.mapInArrow(divide, "anchor long, fp long")))
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3) -> DataFrame:
