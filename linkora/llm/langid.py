@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import pickle
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,14 +95,6 @@ class Language:
 class LanguageModel:
     languages: list[Language]
 
-    def costs(self, word: str) -> list[tuple[int, int]]:
-        """(phrases, rarity in 1/16 bits) of a word for each language. A word is parsed with a space on either side."""
-        out = []
-        for x in self.languages:
-            rarity = math.log2((x.total + len(x.seen) + 1) / (x.seen.get(word, 0) + 0.5))
-            out.append((x.automaton.phrases(f" {word} "), round(16 * rarity)))
-        return out
-
 
 def bucket_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 is held out."""
@@ -112,10 +106,19 @@ def train(docs: DataFrame, rows_per_language: int = 300, chars_per_language: int
 
     The sample is bounded: for each language at most ``rows_per_language`` rows, those with the smallest hash
     of their id, texts of over ``chars_per_language / 10`` characters not among them; of its words, the
-    ``words_per_language`` most frequent ones. Rows are ranked in each task before they are shuffled.
+    ``words_per_language`` most frequent ones. The languages' counts set how small a hash must be for a row to
+    be shuffled at all, so that about four times the rows wanted are ranked, whatever the input's size.
     """
+    top = 1 << 30
+    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(top))
+    counts_of = docs.filter(F.col("lang").isNotNull() & (bucket_of(F.col("doc_id")) != 0)).groupBy(F.col("lang").cast("string").alias("lang")).count()
+    most = {r.lang: min(top, 4 * rows_per_language * top // r["count"]) for r in counts_of.collect()}  # a number for each language
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id")) != 0) & (F.length("text") <= chars_per_language // 10)).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), "doc_id")
+    if not most:
+        return LanguageModel([])
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("lang"))
+    labelled = labelled.withColumn("share", share).filter(F.col("share") < limit)
+    by_hash = Window.partitionBy("lang").orderBy("share", "doc_id", "text")
     chosen = labelled.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= rows_per_language)
     counts: dict[str, Counter] = {}
     for row in chosen.orderBy("lang", "n").toLocalIterator():
@@ -132,32 +135,96 @@ def train(docs: DataFrame, rows_per_language: int = 300, chars_per_language: int
     return LanguageModel(languages)
 
 
+class _Dense:
+    """The automata as transition tables over numbered characters, to parse many words in step."""
+
+    def __init__(self, model: LanguageModel):
+        chars = sorted({c for x in model.languages for edges in x.automaton.next for c in edges})
+        self.number = {c: i + 1 for i, c in enumerate(chars)}  # 0: no language has it
+        self.width = len(chars) + 1
+        self.tables = []
+        for x in model.languages:
+            table = np.zeros((len(x.automaton.next), self.width), np.int32)  # 0, the root, is no edge's end
+            for state, edges in enumerate(x.automaton.next):
+                for c, to in edges.items():
+                    table[state, self.number[c]] = to
+            self.tables.append(table)
+
+    def phrases(self, words: list[str]) -> np.ndarray:
+        """:meth:`SuffixAutomaton.phrases` of " word " for each word and language."""
+        number, space = self.number.get, self.number.get(" ", 0)
+        codes = [[space, *map(number, w, itertools.repeat(0)), space] for w in words]
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+        order = np.argsort(-lengths, kind="stable")  # so that those still being parsed come first
+        symbols = np.zeros((len(codes), int(lengths.max())), np.int32)
+        for row, i in enumerate(order.tolist()):
+            symbols[row, : lengths[i]] = codes[i]
+        active = np.searchsorted(-lengths[order], -np.arange(1, symbols.shape[1] + 1), "right")
+        out = np.zeros((len(codes), len(self.tables)), np.int64)
+        for k, table in enumerate(self.tables):
+            state, count = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.int64)
+            for at, n in enumerate(active.tolist()):
+                c, here = symbols[:n, at], state[:n]
+                to = table[here, c]
+                ended = to == 0
+                again = table[0, c]
+                count[:n] += ended & (here != 0)
+                count[:n] += ended & (again == 0)
+                state[:n] = np.where(ended, again, to)
+            out[order, k] = count + (state != 0)
+        return out
+
+
 class _Memo(dict):
-    """Chunk -> its letters, phrases and rarities by language, packed into one integer, so that a text's totals are one sum."""
+    """Chunk -> its row in ``costs``: the letters, then each language's cost in bits. Rows of new chunks are filled for a batch at once."""
 
-    BITS = 56
+    STEP, LONG, CHARS = 4096, 200, 500
 
     def __init__(self, model: LanguageModel, limit: int = 300_000):
         self.model, self.limit = model, limit
+        chars = {c for x in model.languages for edges in x.automaton.next for c in edges}
+        self.dense = _Dense(model) if len(chars) <= self.CHARS else None  # a script of many characters would make the tables large
+        self.costs, self.new = np.zeros((0, 1 + len(model.languages))), []
 
     def __missing__(self, chunk: str) -> int:
-        fields = [0] * (1 + 2 * len(self.model.languages))
-        for word in words_of(chunk):
-            fields[0] += len(word)
-            for k, (phrases, rarity) in enumerate(self.model.costs(word)):
-                fields[1 + 2 * k] += phrases
-                fields[2 + 2 * k] += rarity
-        packed = 0
-        for f in reversed(fields):
-            packed = packed << self.BITS | f
-        if len(self) >= self.limit:
+        row = self[chunk] = len(self)
+        self.new.append(chunk)
+        return row
+
+    def rows(self, text: str) -> np.ndarray:
+        chunks = text.split()
+        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+
+    def fill(self) -> None:
+        """Costs of the chunks seen since the last call."""
+        words = [words_of(chunk) for chunk in self.new]
+        rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        flat = [w for ws in words for w in ws]
+        cost = np.zeros((len(flat), 1 + len(self.model.languages)))
+        cost[:, 0] = list(map(len, flat))
+        short = [i for i, w in enumerate(flat) if len(w) <= self.LONG] if self.dense else []
+        for at in range(0, len(short), self.STEP):
+            some = short[at : at + self.STEP]
+            cost[some, 1:] = self.dense.phrases([flat[i] for i in some])
+        for i in sorted(set(range(len(flat))) - set(short)):
+            cost[i, 1:] = [x.automaton.phrases(f" {flat[i]} ") for x in self.model.languages]
+        for k, x in enumerate(self.model.languages):
+            base = math.log2(x.total + len(x.seen) + 1)
+            rarity = base - np.log2(np.fromiter(map(x.seen.get, flat, itertools.repeat(0)), np.float64, len(flat)) + 0.5)
+            cost[:, 1 + k] = cost[:, 1 + k] * x.weight + rarity / 10
+        filled = np.zeros((len(words), cost.shape[1]))
+        np.add.at(filled, rows, cost)
+        self.costs = np.concatenate([self.costs, filled])
+        self.new = []
+
+    def totals(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Letters and costs of whole texts."""
+        if len(self) > self.limit:
             self.clear()
-        self[chunk] = packed
-        return packed
-
-    def totals(self, text: str) -> list[int]:
-        packed, mask = sum(map(self.__getitem__, text.split())), (1 << self.BITS) - 1
-        return [packed >> self.BITS * k & mask for k in range(1 + 2 * len(self.model.languages))]
+            self.costs = self.costs[:0]
+        rows = [self.rows(t or "") for t in texts]
+        self.fill()
+        return [self.costs[r].sum(axis=0) for r in rows]
 
 
 @functools.lru_cache(1)
@@ -166,42 +233,41 @@ def memo_of(pickled: bytes) -> _Memo:
     return _Memo(pickle.loads(pickled))
 
 
-def decide(model: LanguageModel, totals: list[int]) -> tuple[str, float]:
+def decide(model: LanguageModel, totals: np.ndarray) -> tuple[str, float]:
     """(language, score): the fewest phrases, weighted by the bits that point at one.
 
     A tenth of the words' rarity (bits of their training frequency) decides where phrases are near a tie, as
     with a word or two that several languages have; what is left of ties goes by name.
-
     The score is 1 less the ratio of the best to the next, 1 with one language only, 0 after a tie.
     """
     if not totals[0] or not model.languages:
         return UNDETERMINED, 0.0
-    ranked = sorted((totals[1 + 2 * k] * x.weight + totals[2 + 2 * k] / 160, x.name) for k, x in enumerate(model.languages))
+    ranked = sorted(zip(totals[1:].tolist(), (x.name for x in model.languages), strict=True))
     if len(ranked) == 1:
         return ranked[0][1], 1.0
     (best, name), (second, _) = ranked[:2]
     return name, 1 - best / second
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred and score added at the end, from whole texts alone.
+def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and the score added at the end as ``names``, from whole texts alone.
 
     ``und`` with score 0 where text is null or has no letters, or where nothing was learned. Each row is
     judged by itself: repeated rows agree, an empty table gives no rows, other columns are kept (columns of
-    these two names are replaced).
+    these two names are replaced; choose other names to keep them).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))  # bounded by train()'s parameters and the number of languages
     at = docs.columns.index("text")
 
     def run(batches):
         memo = memo_of(sent.value)
         for batch in batches:
-            out = [decide(memo.model, memo.totals(t)) if t else (UNDETERMINED, 0.0) for t in batch.column(at).to_pylist()]
+            out = [decide(memo.model, x) for x in memo.totals(batch.column(at).to_pylist())]
             columns = [*batch.columns, pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
     return docs.mapInArrow(run, schema)
