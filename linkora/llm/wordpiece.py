@@ -12,57 +12,51 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Marks the end of the prefix under which pieces that continue a word hang.
-CONTINUES = b"##"
 
 
 class LongestMatch:
     """Greedy longest-match-first piece counts of a word, in one pass over its bytes.
 
-    Each trie node v stands for a string; ``fail[v]`` is the node where matching goes on after the longest
-    pieces that start v's string are popped, and ``popped[v]`` how many they are. A node whose string has
-    no piece in front has no failure link: the word has no pieces then. Pieces that continue a word are
-    given with ``##`` in front.
+    ``starts`` are the pieces that begin a word, ``inner`` those that continue one; each set is a trie under its own
+    root. Each node v stands for a string; ``fail[v]`` is the node where matching goes on after the longest
+    pieces that begin v's string are popped, and ``popped[v]`` how many they are. A node whose string has no
+    piece in front has no failure link: the word has no pieces then.
     """
 
-    def __init__(self, pieces: list[bytes]):
-        self.next: list[dict[int, int]] = [{}]
-        ends: list[bool] = [False]
-        for piece in [CONTINUES, *pieces]:
-            node = 0
-            for byte in piece:
-                to = self.next[node].get(byte)
-                if to is None:
-                    to = self.next[node][byte] = len(self.next)
-                    self.next.append({})
-                    ends.append(False)
-                node = to
-            ends[node] = ends[node] or piece != CONTINUES
-        self.inner = 0
-        for byte in CONTINUES:
-            self.inner = self.next[self.inner][byte]
-        n = len(self.next)
-        self.fail: list[int] = [-1] * n
-        self.popped = [0] * n
+    START, INNER = 0, 1
+
+    def __init__(self, starts: list[bytes], inner: list[bytes]):
+        self.next: list[dict[int, int]] = [{}, {}]
+        ends = [False, False]
+        for root, pieces in ((self.START, starts), (self.INNER, inner)):
+            for piece in pieces:
+                node = root
+                for byte in piece:
+                    to = self.next[node].get(byte)
+                    if to is None:
+                        to = self.next[node][byte] = len(self.next)
+                        self.next.append({})
+                        ends.append(False)
+                    node = to
+                ends[node] = node > self.INNER
+        self.fail, self.popped = [-1] * len(self.next), [0] * len(self.next)
         # breadth first: a parent's link is known before its children's
-        queue = deque((node, parent, byte) for parent in (0, self.inner) for byte, node in self.next[parent].items() if node != self.next[0].get(CONTINUES[0]) or parent == self.inner)
-        hidden = {0, self.next[0][CONTINUES[0]], self.inner}
+        queue = deque((node, root, byte) for root in (self.START, self.INNER) for byte, node in self.next[root].items())
         while queue:
             node, parent, byte = queue.popleft()
             if ends[node]:
-                self.fail[node], self.popped[node] = self.inner, 1
-            elif self.fail[parent] >= 0 and parent not in hidden:
+                self.fail[node], self.popped[node] = self.INNER, 1
+            else:
                 at, count = self.fail[parent], self.popped[parent]
                 while at >= 0 and byte not in self.next[at]:
                     at, count = self.fail[at], count + self.popped[at]
                 if at >= 0:
                     self.fail[node], self.popped[node] = self.next[at][byte], count
-            for b, child in self.next[node].items():
-                queue.append((child, node, b))
+            queue.extend((child, node, b) for b, child in self.next[node].items())
 
     def count(self, word: bytes) -> int:
         """The number of pieces; 0 for an empty word, -1 for one that has none."""
-        nxt, fail, popped, at, count = self.next, self.fail, self.popped, 0, 0
+        nxt, fail, popped, at, count = self.next, self.fail, self.popped, self.START, 0
         if not word:
             return 0
         for byte in word:
@@ -72,44 +66,44 @@ class LongestMatch:
                 count += popped[at]
                 at = fail[at]
             at = to
-        while at != self.inner:
-            if at < 0 or fail[at] < 0:
+        while at != self.INNER:
+            if fail[at] < 0:
                 return -1
             count += popped[at]
             at = fail[at]
         return count
 
 
-def greedy(word: bytes, pieces: set[bytes]) -> int:
+def greedy(word: bytes, starts: set[bytes], inner: set[bytes]) -> int:
     """The same by definition: cut the longest piece off the front until nothing is left."""
-    count, front = 0, b""
+    count, pieces = 0, starts
     while word:
-        n = next((n for n in range(len(word), 0, -1) if front + word[:n] in pieces), 0)
+        n = next((n for n in range(len(word), 0, -1) if word[:n] in pieces), 0)
         if not n:
             return -1
-        word, count, front = word[n:], count + 1, CONTINUES
+        word, count, pieces = word[n:], count + 1, inner
     return count
 
 
-def byte_pieces(rank_file: bytes) -> list[bytes]:
-    """Word pieces of a byte-level rank file: entries with a space in front start a word, the others continue one.
+def byte_pieces(rank_file: bytes) -> tuple[list[bytes], list[bytes]]:
+    """(starts, inner) of a byte-level rank file: entries with a space in front start a word, the others continue one.
 
     Single bytes do both, so that every word has pieces.
     """
     tokens = [base64.b64decode(line.split()[0]) for line in rank_file.splitlines() if line.strip()]
     starts = {t[1:] for t in tokens if t[:1] == b" " and len(t) > 1} | {t for t in tokens if len(t) == 1}
-    return sorted(starts | {CONTINUES + t for t in tokens if t[:1] != b" "})
+    return sorted(starts), sorted(t for t in tokens if t[:1] != b" ")
 
 
 @functools.lru_cache(2)
 def _memo(rank_file: bytes):
-    automaton = LongestMatch(byte_pieces(rank_file))
+    automaton = LongestMatch(*byte_pieces(rank_file))
 
     class Memo(dict):
         def __missing__(self, word):
             if len(self) >= 400_000:
                 self.clear()
-            n = self[word] = automaton.count(word)
+            n = self[word] = abs(automaton.count(word))  # a word without pieces is one unknown token
             return n
 
     return Memo()
@@ -127,8 +121,8 @@ def rank_file(path: str | None = None) -> bytes:
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     r"""Greedy word-piece counts of whole ``docs`` (doc_id, text).
 
-    Returns a row for each input row: doc_id, n_words (runs of other bytes than space and \\x09-\\x0D), n_tokens,
-    longest_word (pieces of the word with most). Null and empty texts have 0; a very long word is counted in
+    Returns a row for each input row: doc_id, n_words (runs of other bytes than space and \\x09-\\x0D), n_tokens
+    (a word without pieces counts as one), longest_word (pieces of the word with most). Null and empty texts have 0; a very long word is counted in
     one pass; repeated rows get a row each; an empty table gives no rows; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)

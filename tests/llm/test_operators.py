@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -59,10 +60,17 @@ def test_bpe_agrees_with_the_tokenizer(spark):
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     reference.encode_special_tokens = True
-    bpe = tokens.ByteBpe(tokens.bpe_file(), tokens.bpe_pattern(), memo=50)
-    odd = ["a  b", " a", "a ", "a \n b", "\n a", "a\n", "it's we'll", "a\u00a0 b", "\x1c a", "x \x85y", "  ", "a\tb c", "end. \n\nNext"]
+    bpe = tokens.ByteBpe(tokens.bpe_file(), tokens.bpe_pattern(), memo=50, part=2000)
+    odd = ["so, it ended. then; what?! e.g. (this) x,y é, " + "z" * 70 + ". q", "a  b", " a", "a ", "a \n b", "\n a", "a\n", "it's we'll", "a\u00a0 b", "\x1c a", "x \x85y", "  ", "a\tb c", "end. \n\nNext"]
     for text in [t for _, t in rows() if t is not None] + odd:
-        assert np.frombuffer(bpe.ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, text
+        wanted = reference.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.ids(text), "<u4").tolist() == wanted, text
+    texts = [t for _, t in rows()] + odd
+    wanted = [reference.encode(t or "", add_special_tokens=False).ids for t in texts]
+    found = [ids[a:b].tolist() for ids, bounds in bpe.batches(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert found == wanted
+    assert bpe.counts(pa.array(texts)).tolist() == list(map(len, wanted))
+    assert bpe.counts(pa.array([], pa.string())).tolist() == []
 
 
 @settings(max_examples=200, deadline=None)
@@ -202,11 +210,10 @@ def test_substring_dedup_of_nothing(empty):
 
 
 def test_token_counts(spark, docs, empty):
-    vocabulary = wordpiece.byte_pieces(wordpiece.rank_file())
-    pieces = set(vocabulary)
+    starts, inner = map(set, wordpiece.byte_pieces(wordpiece.rank_file()))
     wanted = []
     for doc_id, text in rows():
-        counts = [wordpiece.greedy(w, pieces) for w in (text or "").encode().split()]
+        counts = [wordpiece.greedy(w, starts, inner) for w in (text or "").encode().split()]
         wanted.append((doc_id, len(counts), sum(counts), max(counts, default=0)))
     assert sorted(map(tuple, wordpiece.token_counts(docs).collect()), key=key) == sorted(wanted, key=key)
     assert wordpiece.token_counts(empty).count() == 0
@@ -215,8 +222,8 @@ def test_token_counts(spark, docs, empty):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=4), max_size=8), st.lists(st.text("abc", min_size=1, max_size=4), max_size=8), st.text("abcd", max_size=12))
 def test_longest_match_automaton(starts, inner, word):
-    pieces = [s.encode() for s in starts] + [b"##" + s.encode() for s in inner]
-    assert wordpiece.LongestMatch(pieces).count(word.encode()) == wordpiece.greedy(word.encode(), set(pieces))
+    starts, inner = [s.encode() for s in starts], [s.encode() for s in inner]
+    assert wordpiece.LongestMatch(starts, inner).count(word.encode()) == wordpiece.greedy(word.encode(), set(starts), set(inner))
 
 
 # --- exact dedup
@@ -376,10 +383,11 @@ def test_links_of_planted_fingerprints(spark):
     dense = [f for f in {(0xABCDEF << 40) ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(30)}]
     fps = sorted({*fps, *dense})
     table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").repartition(4)
-    links = [(x.a % (1 << 64), x.b % (1 << 64)) for x in simhash.near_links(table).collect()]
-    assert all((a ^ b).bit_count() <= 3 for a, b in links)
     wanted = brute_components(fps, [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3])
-    assert brute_components(fps, links) == wanted
+    for heavy in (50_000, 60):
+        links = [(x.a % (1 << 64), x.b % (1 << 64)) for x in simhash.near_links(table, heavy=heavy).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in links)
+        assert brute_components(fps, links) == wanted
 
 
 def test_a_large_group_is_split_exactly():
@@ -460,7 +468,7 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n_hit int")
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     wanted = sorted(brute_contamination(rows(), items), key=key)
-    for most in (64 << 20, 200):
+    for most in (4 << 20, 200):
         found = decontam.contamination(docs, bench, most_bytes=most).select(*columns).collect()
         assert sorted(map(tuple, found), key=key) == wanted
     assert decontam.contamination(empty, bench).count() == 0
@@ -474,3 +482,27 @@ def test_proximity(spark):
     assert found[1][0] == 13 and found[1][1] >= 1
     assert found[2][0] == 0 and found[2][1] >= 1
     assert found[3] == (0, 0)
+
+
+def test_words_in_step_agree_with_the_automaton():
+    languages = []
+    for name, words in (("a", ["abcbc", "bcab", "über"]), ("b", ["ccb", "xyz"])):
+        automaton = langid.SuffixAutomaton()
+        for w in words:
+            automaton.add(f" {w} ")
+        languages.append(langid.Language(name, automaton, 5.0, dict.fromkeys(words, 1), len(words)))
+    dense = langid._Dense(langid.LanguageModel(languages))
+    r = random.Random(1)
+    words = ["".join(r.choice("abcxyzüber日") for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    wanted = [[x.automaton.phrases(f" {w} ") for x in languages] for w in words]
+    assert dense.phrases(words).tolist() == wanted
+
+
+def test_a_script_of_many_characters_needs_no_tables(monkeypatch):
+    automaton = langid.SuffixAutomaton()
+    automaton.add(" abc ")
+    model = langid.LanguageModel([langid.Language("a", automaton, 5.0, {"abc": 1}, 1)])
+    texts = ["abc cab, x", "", None, "a" * 300]
+    dense = langid._Memo(model).totals(texts)
+    monkeypatch.setattr(langid._Memo, "CHARS", 0)
+    assert [x.tolist() for x in langid._Memo(model).totals(texts)] == [x.tolist() for x in dense]
