@@ -58,27 +58,28 @@ def pieces(docs: DataFrame, groups: int, capacity: int = 2048, end_id: int = 1,
     bounded_batches(spark)
     sent, pattern = spark.sparkContext.broadcast(bpe_file(vocabulary)), bpe_pattern()
     schema = PIECES + (", ids binary" if with_ids else "")
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def cut(batches):
         from pyspark import TaskContext
 
         bpe, at = bpe_of(sent.value, pattern), TaskContext.get().partitionId() << 40
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            drawn = splitmix64(np.arange(at, at + len(texts), dtype=np.uint64) ^ np.uint64(seed << 20)) % np.uint64(groups)
-            at += len(texts)
-            out: list[tuple] = []
-            for doc_id, text, grp in zip(doc_ids, texts, drawn.tolist(), strict=True):
-                ids = bpe.ids(text or "") + end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    out.append((grp, doc_id, start, len(part) // 4, zlib.crc32(part), total, *([part] if with_ids else ())))
-            columns = list(zip(*out, strict=True)) if out else [[]] * (7 if with_ids else 6)
-            types = [pa.int64()] * 6 + [pa.binary()] * with_ids
-            names = ["grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            row, doc_ids = 0, batch.column(0).to_pylist()
+            drawn = (splitmix64(np.arange(at, at + len(doc_ids), dtype=np.uint64) ^ np.uint64(seed << 20)) % np.uint64(groups)).tolist()
+            at += len(doc_ids)
+            for ids, bounds in bpe.batches(batch.column(1)):
+                out: list[tuple] = []
+                for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    own = np.concatenate((ids[low:high], end))
+                    for start in range(0, len(own), capacity):
+                        part = own[start : start + capacity].tobytes()
+                        out.append((drawn[row], doc_ids[row], start, len(part) // 4, zlib.crc32(part), len(own), *([part] if with_ids else ())))
+                    row += 1
+                columns = list(zip(*out, strict=True))
+                types = [pa.int64()] * 6 + [pa.binary()] * with_ids
+                names = ["grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 

@@ -1,15 +1,19 @@
 """Byte-level BPE ids at memo speed.
 
 A byte-level BPE never merges across a boundary between a non-space character and the space after it,
-so a text that has single spaces only is encoded chunk by chunk, each distinct chunk once.
+so a text that has single spaces only is encoded chunk by chunk, each distinct chunk once. Arrow splits a
+batch and numbers its chunks; Python sees each distinct chunk of a batch once.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -19,47 +23,110 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Unsafe(Exception):
-    pass
-
-
-class _Memo(dict):
-    def __init__(self, encode, limit):
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, chunk):
-        if not chunk or chunk[-1].isspace():
-            raise _Unsafe
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self[chunk] = np.array(self.encode(" " + chunk), dtype="<u4").tobytes()
-        return ids
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ByteBpe:
-    """``ids(text)``: the ids as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit values; strings of special tokens are ordinary text."""
 
-    def __init__(self, vocabulary: bytes, pattern: str, memo: int = 400_000):
+    def __init__(self, vocabulary: bytes, pattern: str, memo: int = 600_000, longest: int = 64, part: int = 4 << 20):
         import tiktoken
 
         model, back = json.loads(vocabulary), byte_alphabet()
         special = {x["content"] for x in model.get("added_tokens", ())}
         ranks = {bytes(back[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
         self.encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.memo = _Memo(self.encode, memo)
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = list(map(len, ranks))
+        self.memo: dict[str, bytes] = {}  # a chunk that follows a space -> its ids
+        self.most, self.longest, self.part = memo, longest, part
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+        ids = self.encode(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that follow a space, encoded in one go: no piece holds parts of two."""
+        ids = np.array(self.encode(" " + " ".join(chunks)), dtype="<u4")
+        ends = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks)))
+        stops = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)).tolist()
+        data = ids.tobytes()
+        found = [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        self.memo.update((c, f) for c, f in zip(chunks, found, strict=True) if len(c) <= self.longest)
+        return found
+
+    def _coded(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids of distinct chunks, which chunk stands where, bounds of the texts in that)."""
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        bounds, words, index = bounds - bounds[0], coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        parts = list(map(self.memo.get, words))
+        missing = [i for i, ids in enumerate(parts) if ids is None]
+        unsafe = np.zeros(len(words), bool)
+        unsafe[[i for i in missing if not words[i] or words[i][-1].isspace()]] = True
+        missing = [i for i in missing if not unsafe[i]]
+        for i, ids in zip(missing, self._learn([words[i] for i in missing]) if missing else (), strict=True):
+            parts[i] = ids
+        for i in np.flatnonzero(unsafe).tolist():
+            parts[i] = b""
+        # a text's first chunk follows no space, and its last one may end in one
+        first, last = bounds[:-1], bounds[1:] - 1
+        inside = unsafe[index]
+        inside[last[last > first]] = False
+        slow = np.logical_or.reduceat(inside, first) & (last > first) if len(first) else np.zeros(0, bool)
+        nothing = len(parts)
+        parts.append(b"")
+        for i, (a, b, bad) in enumerate(zip(first.tolist(), last.tolist(), slow.tolist(), strict=True)):
+            if bad:
+                index[a : b + 1] = nothing
+                index[a] = len(parts)
+                parts.append(self.raw(texts[i].as_py()))
+            else:
+                front, back = words[index[a]], words[index[b]]
+                index[a] = len(parts)
+                parts.append(self.raw(front))
+                if b > a:
+                    index[b] = len(parts)
+                    parts.append(self.raw(" " + back))
+        return parts, index, bounds
+
+    def _slices(self, texts: pa.Array):
+        """Runs of texts of about ``part`` bytes."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self.part, "right"))
+            to = max(at + 1, to)
+            yield at, texts.slice(at, to - at)
+            at = to
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text; null has none."""
+        out = np.zeros(len(texts), np.int64)
+        for at, some in self._slices(texts):
+            parts, index, bounds = self._coded(some)
+            sums = np.concatenate(([0], np.cumsum((np.fromiter(map(len, parts), np.int64, len(parts)) // 4)[index])))
+            out[at : at + len(some)] = sums[bounds[1:]] - sums[bounds[:-1]]
+        return out
+
+    def batches(self, texts: pa.Array):
+        """(ids of a run of texts as one array, its bounds) for run after run; null has none."""
+        for _, some in self._slices(texts):
+            parts, index, bounds = self._coded(some)
+            every = np.frombuffer(b"".join(parts), "<u4")
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            offsets = np.cumsum(lengths) - lengths
+            here = lengths[index]
+            sums = np.concatenate(([0], np.cumsum(here)))
+            yield every[np.repeat(offsets[index] - sums[:-1], here) + np.arange(sums[-1])], sums[bounds]
 
     def ids(self, text: str) -> bytes:
-        parts = text.split(" ")
-        first, last = parts[0], parts[-1]
-        if len(parts) == 1 or not first or first[-1].isspace():
-            return self.raw(text)
-        try:
-            return b"".join([self.raw(first), *map(self.memo.__getitem__, parts[1:-1]), self.raw(" " + last)])
-        except _Unsafe:
-            return self.raw(text)
+        ids, _ = next(self.batches(pa.array([text], pa.string())))
+        return ids.astype("<u4").tobytes()
 
 
 @functools.lru_cache(2)

@@ -55,19 +55,17 @@ def inverse_feistel(slot: np.ndarray, n: int, key: int, rounds: int = 4) -> np.n
     return out.astype(np.int64)
 
 
-def _sequences(batches, bpe, length: int, end: bytes):
+def _sequences(batches, bpe, length: int, end: np.ndarray):
     """The sequences of a partition: its texts' ids and end ids in a row, cut every ``length``, as 16-bit bytes; the last may be short."""
-    held = b""
+    held = np.zeros(0, "<u2")
     for batch in batches:
-        parts = [held]
-        for text in batch.column(0).to_pylist():
-            parts += (np.frombuffer(bpe.ids(text or ""), "<u4").astype("<u2").tobytes(), end)
-        held = b"".join(parts)
-        whole = len(held) - len(held) % (2 * length)
-        yield [held[i : i + 2 * length] for i in range(0, whole, 2 * length)]
-        held = held[whole:]
-    if held:
-        yield [held]
+        for ids, bounds in bpe.batches(batch.column(0)):
+            held = np.concatenate((held, np.insert(ids.astype("<u2"), bounds[1:], end)))
+            whole = len(held) - len(held) % length
+            yield [held[i : i + length].tobytes() for i in range(0, whole, length)]
+            held = held[whole:]
+    if len(held):
+        yield [held.tobytes()]
 
 
 def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pad_id: int = 0, per_shard: int = 4096, key: int = 42, vocabulary: str | None = None) -> DataFrame:
@@ -90,7 +88,7 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
     spark = docs.sparkSession
     bounded_batches(spark)
     sent, pattern = spark.sparkContext.broadcast(bpe_file(vocabulary)), bpe_pattern()
-    end, stride = np.array([end_id], "<u2").tobytes(), 2 * length
+    end, stride = np.array([end_id], "<u2"), 2 * length
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def count(batches):
@@ -98,7 +96,7 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
 
         bpe, n = bpe_of(sent.value, pattern), 0
         for batch in batches:
-            n += sum(len(bpe.ids(t or "")) // 4 + 1 for t in batch.column(0).to_pylist())
+            n += int(bpe.counts(batch.column(0)).sum()) + batch.num_rows
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-n // length)], pa.int64())], names=["part", "n"])
 
     counts = {r.part: r.n for r in texts.mapInArrow(count, "part long, n long").collect()}  # a number for each input partition
