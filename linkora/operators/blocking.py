@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 def cosine_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(q_id, s_id, cos) of all pairs that share a token of their country. The sum starts before the shuffle.
 
-    Fan-out is bounded by the cap on document frequency that both sides' vectors were made with.
+    Fan-out is bounded by the cap on document frequency that both sides' vectors were made with. The join's key is a
+    64-bit hash of country and token, so no token text is shuffled.
     """
-    q = queries.select(F.col("entity_id").alias("q_id"), "country", "tok", F.col("w").alias("wq"))
-    s = index.select(F.col("entity_id").alias("s_id"), "country", "tok", F.col("w").alias("ws"))
-    return q.join(s, ["country", "tok"]).groupBy("q_id", "s_id").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 6).alias("cos"))
+    key = F.xxhash64("country", "tok").alias("key")
+    q = queries.select(F.col("entity_id").alias("q_id"), key, F.col("w").alias("wq"))
+    s = index.select(F.col("entity_id").alias("s_id"), key, F.col("w").alias("ws"))
+    return q.join(s, "key").groupBy("q_id", "s_id").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 6).alias("cos"))
 
 
 def top_candidates(pairs: DataFrame, top_k: int = 8, min_cos: float = 0.08, rel_cos: float = 0.25) -> DataFrame:

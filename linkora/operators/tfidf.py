@@ -18,9 +18,12 @@ def idf(n: int | Column, df: Column) -> Column:
 
 
 def weighted(tokens: DataFrame, frequency: DataFrame, n: int, cap: int | None = None) -> DataFrame:
-    """Tokens with weight w, L2-normed in each entity and field. Tokens outside ``frequency`` vanish, those above ``cap`` too."""
+    """Tokens with weight w, L2-normed in each entity and field. Tokens outside ``frequency`` vanish, those above ``cap`` too.
+
+    Rows are partitioned by entity once; all norms and sums of an entity, here and in :func:`block_vector`, need no other shuffle.
+    """
     known = frequency if cap is None else frequency.filter(F.col("df") <= cap)
-    rows = tokens.join(known, ["field", "tok"]).withColumn("w", idf(n, F.col("df")))
+    rows = tokens.join(known, ["field", "tok"]).withColumn("w", idf(n, F.col("df"))).repartition("entity_id")
     per_field = Window.partitionBy("entity_id", "field")
     return rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_field))).drop("df")
 
