@@ -68,7 +68,7 @@ def _sequences(batches, bpe, length: int, end: np.ndarray):
         yield [held.tobytes()]
 
 
-def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pad_id: int = 0, per_shard: int = 4096, key: int = 42, vocabulary: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pad_id: int = 0, per_shard: int = 4096, key: int = 42, most_tasks: int = 10_000, vocabulary: str | None = None) -> DataFrame:
     """Write the ids of whole ``docs`` (text) as shards of fixed-stride sequences in training order.
 
     Texts of an input partition follow each other, each closed by ``end_id``, and are cut every ``length``
@@ -81,6 +81,7 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
     (with it). Null text is empty (its end id remains); repeated rows are written each; an empty table
     writes nothing; other columns are ignored.
 
+    Each of up to ``most_tasks`` tasks gets a range of shards, in slot order, known beforehand; nothing is sampled.
     Partitions are counted first, then read again: the order depends on the input partitions, which a
     Parquet scan gives alike each time. A shard is written by one task under a name of its attempt and renamed
     when whole, so a lost executor leaves no half shard.
@@ -148,7 +149,8 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
 
     placed = texts.mapInArrow(place, "slot long, sequence long, shard long, ids binary")
     shards = max(1, -(-n // per_shard))
-    ordered = placed.repartition(min(shards, 10_000), "shard").sortWithinPartitions("slot")
+    tasks = min(shards, most_tasks)
+    ordered = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot")
     return ordered.mapInArrow(write, "slot long, sequence long, shard long, byte_offset long, n_ids long, ids_crc32 long")
 
 
