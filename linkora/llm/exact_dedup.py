@@ -49,19 +49,19 @@ class DigestIndex:
         return self.spark.read.schema("digest string, keep_id long").parquet(self.path)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, row: str | None = None) -> DataFrame:
     """Dedup whole ``docs`` (doc_id, text) against ``index`` and themselves, and add what is new to it.
 
     Returns a row for each input row: doc_id, keep_id (doc_id of the row that stays, of an earlier batch
     if the index has its digest), group_size (equal texts in this batch), kept, text_sha256. Of equal
     texts the smallest doc_id stays, null ids last; of rows that also share the id, one. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. If ``docs`` has unique row ids, ``row`` is their column, and it is returned too.
 
     Texts are read once and leave as digests; a digest's rows are counted before the shuffle, and the
     join back can be split where one digest holds many rows.
     """
     rows = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text").cast("string")), 256).alias("digest"), F.monotonically_increasing_id().alias("row")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text").cast("string")), 256).alias("digest"), (F.col(row).cast("long") if row else F.monotonically_increasing_id()).alias("row")),
         "digests",
     )
     key = F.struct(F.col("doc_id").isNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("row").alias("c"))
@@ -73,7 +73,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     known = firsts.join(earlier.withColumnRenamed("keep_id", "earlier_id").withColumn("earlier", F.lit(True)), "digest", "left")
     groups = staged(known.select("digest", F.when(F.col("earlier"), F.col("earlier_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(F.col("earlier").isNull(), F.col("first_row")).alias("first_row"), "group_size"), "groups")
     index.append(groups.filter("first_row is not null"))
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("first_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("first_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"), *([F.col("row").alias(row)] if row else []))
 
 
 def _has_files(index: DigestIndex) -> bool:
