@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import functools
 import json
-import struct
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: What the pattern's ``\\s`` means: Unicode white space (a fixed value; Python's own adds \\x1c-\\x1f).
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Longer runs of white space never reach the pattern, whose backtracking would overflow on them.
+RUN = 1000
+
 
 def byte_alphabet() -> dict[str, int]:
     """Printable character of the vocabulary file -> byte (the rule of byte-level BPE files)."""
@@ -23,53 +28,85 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class ByteBpe:
-    """Ids of texts as little-endian unsigned 32-bit values; strings of special tokens are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit values; a special token's string is that token's one id, as in the tokenizer file."""
 
     def __init__(self, vocabulary: bytes, pattern: str, memo: int = 600_000, longest: int = 64, part: int = 4 << 20):
         import tiktoken
 
         model, back = json.loads(vocabulary), byte_alphabet()
-        special = {x["content"] for x in model.get("added_tokens", ())}
-        ranks = {bytes(back[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        self.encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
+        ranks = {bytes(back[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in self.special}
+        self.bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         self.bytes_of[list(ranks.values())] = list(map(len, ranks))
         self.memo: dict[str, bytes] = {}  # a chunk that follows a space -> its ids
         self.most, self.longest, self.part = memo, longest, part
+        apart = [re.escape(x) for x in sorted(self.special, key=len, reverse=True)]
+        self.specials = re.compile(f"({'|'.join(apart)})") if apart else None
+        self.wide = re.compile(f"[{SPACE}]{{{RUN},}}")
+
+    def _ordinary(self, text: str) -> list[int]:
+        """Ids of a text without special tokens. All but the last character of a run of white space that does not end the text is one piece by the pattern."""
+        if len(text) < RUN or not (runs := list(self.wide.finditer(text))):
+            return self.bpe.encode_ordinary(text)
+        out, at = [], 0
+        for run in runs:
+            stop = run.end() - (run.end() < len(text))
+            out += self.bpe.encode_ordinary(text[at : run.start()])
+            out += self.bpe._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return out + self.bpe.encode_ordinary(text[at:])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        if not self.specials:
+            return self._ordinary(text)
+        out = []
+        for k, part in enumerate(self.specials.split(text)):
+            if k % 2:
+                out.append(self.special[part])
+            elif part:
+                out += self._ordinary(part)
+        return out
 
     def raw(self, text: str) -> bytes:
-        ids = self.encode(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks that follow a space, encoded in one go: no piece holds parts of two."""
-        ids = np.array(self.encode(" " + " ".join(chunks)), dtype="<u4")
-        ends = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in chunks), np.int64, len(chunks)))
-        stops = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)).tolist()
+        return np.array(self.encode(text), "<u4").tobytes()
+
+    def _learn(self, chunks: list[str], sizes: np.ndarray) -> list[bytes]:
+        """The ids of chunks (of ``sizes`` bytes) that follow a space, encoded in one go: no piece holds parts of two."""
+        ids = np.array(self.bpe.encode_ordinary(" " + " ".join(chunks)), dtype="<u4")
+        stops = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes + 1)) + 1)).tolist()
         data = ids.tobytes()
-        found = [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        found = list(map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)))
         self.memo.update((c, f) for c, f in zip(chunks, found, strict=True) if len(c) <= self.longest)
         return found
 
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold a special token's string; they are encoded by themselves."""
+        out = np.zeros(len(texts), bool)
+        for x in self.special:
+            out |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        return out
+
     def _coded(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(ids of distinct chunks, which chunk stands where, bounds of the texts in that)."""
-        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        bounds, words, index = bounds - bounds[0], coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        bounds, chunks, index = bounds - bounds[0], coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        words = chunks.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > self.most:
             self.memo.clear()
         parts = list(map(self.memo.get, words))
-        missing = [i for i, ids in enumerate(parts) if ids is None]
-        unsafe = np.zeros(len(words), bool)
-        unsafe[[i for i in missing if not words[i] or words[i][-1].isspace()]] = True
-        missing = [i for i in missing if not unsafe[i]]
-        for i, ids in zip(missing, self._learn([words[i] for i in missing]) if missing else (), strict=True):
+        unknown = np.fromiter((x is None for x in parts), bool, len(parts))
+        # chunks that run on into the next one, and ones long enough to hold a wide run, are not encoded by themselves
+        sizes = pc.binary_length(chunks).to_numpy().astype(np.int64)
+        unsafe = unknown & (pc.match_substring_regex(chunks, f"^$|[{SPACE}]$").to_numpy(zero_copy_only=False) | (sizes >= RUN))
+        missing = np.flatnonzero(unknown & ~unsafe)
+        new = pc.take(chunks, pa.array(missing)).to_numpy(zero_copy_only=False).tolist()
+        for i, ids in zip(missing.tolist(), self._learn(new, sizes[missing]) if new else (), strict=True):
             parts[i] = ids
         for i in np.flatnonzero(unsafe).tolist():
             parts[i] = b""
@@ -77,7 +114,7 @@ class ByteBpe:
         first, last = bounds[:-1], bounds[1:] - 1
         inside = unsafe[index]
         inside[last[last > first]] = False
-        slow = np.logical_or.reduceat(inside, first) & (last > first) if len(first) else np.zeros(0, bool)
+        slow = np.logical_or.reduceat(inside, first) & (last > first) | self._whole(texts) if len(first) else np.zeros(0, bool)
         nothing = len(parts)
         parts.append(b"")
         for i, (a, b, bad) in enumerate(zip(first.tolist(), last.tolist(), slow.tolist(), strict=True)):

@@ -59,9 +59,9 @@ def test_bpe_agrees_with_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     bpe = tokens.ByteBpe(tokens.bpe_file(), tokens.bpe_pattern(), memo=50, part=2000)
     odd = ["so, it ended. then; what?! e.g. (this) x,y é, " + "z" * 70 + ". q", "a  b", " a", "a ", "a \n b", "\n a", "a\n", "it's we'll", "a\u00a0 b", "\x1c a", "x \x85y", "  ", "a\tb c", "end. \n\nNext"]
+    odd += ["a" + " " * 1500 + "b", "\n" * 1200 + "x", " " * 2000, "x " + "\n" * 3000 + " y " + "\t" * 1001, "z" * 5000 + "\n" * 1000 + "q w", "a  <|endoftext|>\n\n x", "<|endoftext|>", "\x1c\x1d a   b"]
     for text in [t for _, t in rows() if t is not None] + odd:
         wanted = reference.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(bpe.ids(text), "<u4").tolist() == wanted, text
@@ -69,8 +69,13 @@ def test_bpe_agrees_with_the_tokenizer(spark):
     wanted = [reference.encode(t or "", add_special_tokens=False).ids for t in texts]
     found = [ids[a:b].tolist() for ids, bounds in bpe.batches(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert found == wanted
+    assert list(bpe.batches(pa.array([], pa.string()))) == []
     assert bpe.counts(pa.array(texts)).tolist() == list(map(len, wanted))
-    assert bpe.counts(pa.array([], pa.string())).tolist() == []
+
+
+def test_a_very_long_run_of_white_space_is_encoded():
+    bpe = tokens.ByteBpe(tokens.bpe_file(), tokens.bpe_pattern())
+    assert len(bpe.ids(" " * 3_000_000 + "x")) > 0 and len(bpe.ids("\n" * 3_000_000)) > 0
 
 
 @settings(max_examples=200, deadline=None)
