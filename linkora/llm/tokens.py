@@ -141,15 +141,6 @@ class ByteBpe:
             yield at, texts.slice(at, to - at)
             at = to
 
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """The number of ids of each text; null has none."""
-        out = np.zeros(len(texts), np.int64)
-        for at, some in self._slices(texts):
-            parts, index, bounds = self._coded(some)
-            sums = np.concatenate(([0], np.cumsum((np.fromiter(map(len, parts), np.int64, len(parts)) // 4)[index])))
-            out[at : at + len(some)] = sums[bounds[1:]] - sums[bounds[:-1]]
-        return out
-
     def batches(self, texts: pa.Array):
         """(ids of a run of texts as one array, its bounds) for run after run; null has none."""
         for _, some in self._slices(texts):
@@ -172,6 +163,11 @@ def bpe_of(vocabulary: bytes, pattern: str) -> ByteBpe:
     return ByteBpe(vocabulary, pattern)
 
 
+def largest_id(vocabulary: bytes) -> int:
+    model = json.loads(vocabulary)
+    return max(*model["model"]["vocab"].values(), *(x["id"] for x in model.get("added_tokens", ())))
+
+
 def bpe_file(path: str | None = None) -> bytes:
     """The tokenizer file's bytes, read on the driver and sent to the executors (about 2 MB, the file's size)."""
     if path is None:

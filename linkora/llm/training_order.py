@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_path, splitmix64, staged
-from .tokens import bpe_file, bpe_of, bpe_pattern
+from .tokens import bpe_file, bpe_of, bpe_pattern, largest_id
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -68,6 +69,24 @@ def _sequences(batches, bpe, length: int, end: np.ndarray):
         yield [held.tobytes()]
 
 
+def encoded(docs: DataFrame, length: int, end_id: int, vocabulary: bytes) -> DataFrame:
+    """The stored sequences of ``docs`` (text): part (the input partition), at (their number in it), ids (16-bit, little-endian)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    sent, pattern, end = spark.sparkContext.broadcast(vocabulary), bpe_pattern(), np.array([end_id], "<u2")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for found in _sequences(batches, bpe_of(sent.value, pattern), length, end):
+            yield pa.record_batch([pa.array([part] * len(found), pa.int64()), pa.array(np.arange(at, at + len(found))), pa.array(found, pa.binary())], names=["part", "at", "ids"])
+            at += len(found)
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return staged(texts.mapInArrow(run, "part long, at long, ids binary"), "sequences", "zstd")
+
+
 def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pad_id: int = 0, per_shard: int = 4096, key: int = 42, most_tasks: int = 10_000, vocabulary: str | None = None) -> DataFrame:
     """Write the ids of whole ``docs`` (text) as shards of fixed-stride sequences in training order.
 
@@ -75,45 +94,33 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
     ids; a partition's last sequence is padded with ``pad_id``. The i-th sequence of all goes to slot
     ``feistel(i)``. Shard k, ``path/shard-k.bin``, holds slots k * per_shard on, ``2 * length`` bytes each
     (little-endian unsigned 16-bit ids), so slot s is at byte ``2 * length * (s % per_shard)`` of shard
-    ``s // per_shard`` and a reader resumes anywhere. Ids must be below 65536.
+    ``s // per_shard`` and a reader resumes anywhere. Ids must be below 65536; a vocabulary with others is refused.
 
     Returns a row for each sequence, as written: slot, sequence, shard, byte_offset, n_ids (without padding), ids_crc32
     (with it). Null text is empty (its end id remains); repeated rows are written each; an empty table
     writes nothing; other columns are ignored.
 
-    Each of up to ``most_tasks`` tasks gets a range of shards, in slot order, known beforehand; nothing is sampled.
-    Partitions are counted first, then read again: the order depends on the input partitions, which a
-    Parquet scan gives alike each time. A shard is written by one task under a name of its attempt and renamed
-    when whole, so a lost executor leaves no half shard.
+    Texts are encoded once, into a stored table of sequences, and counted there; so the numbers stand whatever
+    order a second read of the input would have. Each of up to ``most_tasks`` tasks gets a range of shards, in
+    slot order, known beforehand; nothing is sampled. A shard is written by one task under a name of its attempt
+    and renamed when whole, so a lost executor leaves no half shard.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    sent, pattern = spark.sparkContext.broadcast(bpe_file(vocabulary)), bpe_pattern()
-    end, stride = np.array([end_id], "<u2"), 2 * length
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-
-    def count(batches):
-        from pyspark import TaskContext
-
-        bpe, n = bpe_of(sent.value, pattern), 0
-        for batch in batches:
-            n += int(bpe.counts(batch.column(0)).sum()) + batch.num_rows
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-n // length)], pa.int64())], names=["part", "n"])
-
-    counts = {r.part: r.n for r in texts.mapInArrow(count, "part long, n long").collect()}  # a number for each input partition
+    spark, stride, data = docs.sparkSession, 2 * length, bpe_file(vocabulary)
+    if max(largest_id(data), end_id, pad_id) >= 1 << 16:
+        raise ValueError("ids of 65536 and more do not fit 16 bits")
+    sequences = encoded(docs, length, end_id, data)
     n, firsts = 0, {}
-    for part in sorted(counts):
-        firsts[part], n = n, n + counts[part]
+    for row in sequences.groupBy("part").agg((F.max("at") + 1).alias("n")).orderBy("part").collect():  # a number for each input partition
+        firsts[row.part], n = n, n + row.n
 
     def place(batches):
-        from pyspark import TaskContext
-
-        bpe, at = bpe_of(sent.value, pattern), firsts.get(TaskContext.get().partitionId(), 0)
-        for found in _sequences(batches, bpe, length, end):
-            sequence = np.arange(at, at + len(found))
-            slot = feistel(sequence, n, key)
-            at += len(found)
-            yield pa.record_batch([pa.array(slot), pa.array(sequence), pa.array(slot // per_shard), pa.array([zlib.compress(x, 1) for x in found], pa.binary())], names=["slot", "sequence", "shard", "ids"])
+        # a codec of its own for each sequence: what is shuffled is one sequence a row
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            sequence = np.fromiter(map(firsts.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows) + batch.column(1).to_numpy()
+            slot, sizes = feistel(sequence, n, key), pc.binary_length(batch.column(2))
+            packed = [codec.compress(x, asbytes=True) for x in batch.column(2).to_pylist()]
+            yield pa.record_batch([pa.array(slot), pa.array(sequence), pa.array(slot // per_shard), pc.cast(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["slot", "sequence", "shard", "size", "ids"])
 
     pad = np.array([pad_id], "<u2").tobytes()
 
@@ -124,7 +131,7 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
 
         store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         store.create_dir(root, recursive=True)
-        shard, out, name = None, None, ""
+        codec, shard, out, name = pa.Codec("zstd", 3), None, None, ""
 
         def close():
             if out:
@@ -133,21 +140,20 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
 
         for batch in batches:
             rows = []
-            for slot, sequence, to, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for slot, sequence, to, size, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if to != shard:
                     close()
                     shard, name = to, f"{root}/.shard-{to:06d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(name, compression=None, buffer_size=1 << 20)
-                ids = zlib.decompress(ids)
-                n_ids = len(ids) // 2
-                ids += pad * (length - n_ids)
+                ids = codec.decompress(ids, size, asbytes=True)
+                ids += pad * (length - size // 2)
                 out.write(ids)
-                rows.append((slot, sequence, to, stride * (slot % per_shard), n_ids, zlib.crc32(ids)))
+                rows.append((slot, sequence, to, stride * (slot % per_shard), size // 2, zlib.crc32(ids)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["slot", "sequence", "shard", "byte_offset", "n_ids", "ids_crc32"])
         close()
 
-    placed = texts.mapInArrow(place, "slot long, sequence long, shard long, ids binary")
+    placed = sequences.mapInArrow(place, "slot long, sequence long, shard long, size long, ids binary")
     shards = max(1, -(-n // per_shard))
     tasks = min(shards, most_tasks)
     ordered = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot")

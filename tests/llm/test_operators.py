@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from linkora.llm import chat, common, decontam, exact_dedup, langid, packing, queries, sharding, simhash, substring_dedup, tokens, training_order, wordpiece
 from linkora.llm.components import components
@@ -70,7 +71,6 @@ def test_bpe_agrees_with_the_tokenizer(spark):
     found = [ids[a:b].tolist() for ids, bounds in bpe.batches(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert found == wanted
     assert list(bpe.batches(pa.array([], pa.string()))) == []
-    assert bpe.counts(pa.array(texts)).tolist() == list(map(len, wanted))
 
 
 def test_a_very_long_run_of_white_space_is_encoded():
@@ -423,23 +423,31 @@ def test_feistel_is_a_permutation(n, secret):
 
 def test_training_order_files(spark, docs, empty, tmp_path):
     path = f"file://{tmp_path}/order"
-    found = sorted(training_order.materialise(docs, path, length=64, per_shard=16, pad_id=9).collect())
+    stored = common.staged(docs, "docs")
+    found = sorted(training_order.materialise(stored, path, length=64, per_shard=16, pad_id=9, key=5).collect())
     n = len(found)
-    assert [r.slot for r in found] == list(range(n)) and sorted(r.sequence for r in found) == list(range(n))
     bpe = tokens.ByteBpe(tokens.bpe_file(), tokens.bpe_pattern())
-    files = {k: (tmp_path / "order" / f"shard-{k:06d}.bin").read_bytes() for k in {r.shard for r in found}}
-    stream = {}
-    for r in found:
-        data = files[r.shard][r.byte_offset : r.byte_offset + 128]
-        assert zlib.crc32(data) == r.ids_crc32 and r.byte_offset == 128 * (r.slot % 16) and r.shard == r.slot // 16
-        stream[r.sequence] = np.frombuffer(data, "<u2")[: r.n_ids].tolist()
-    ids = Counter(x for s in stream.values() for x in s)
-    wanted = Counter(x for _, t in rows() for x in [*np.frombuffer(bpe.ids(t or ""), "<u4").tolist(), 1])
-    assert ids == wanted
+    # brute force: each partition's ids in a row, cut every 64, the i-th sequence at slot feistel(i)
+    parts = defaultdict(list)
+    for r in stored.select("text", F.spark_partition_id().alias("part")).collect():
+        parts[r.part] += [*np.frombuffer(bpe.ids(r.text or ""), "<u4").tolist(), 1]
+    wanted = [parts[k][i : i + 64] for k in sorted(parts) for i in range(0, len(parts[k]), 64)]
+    assert len(wanted) == n and [r.slot for r in found] == list(range(n))
+    files = {k: (tmp_path / "order" / f"shard-{k:06d}.bin").read_bytes() for k in range(-(-n // 16))}
+    for i, (slot, ids) in enumerate(zip(training_order.feistel(np.arange(n), n, 5).tolist(), wanted, strict=True)):
+        r = found[slot]
+        data = files[slot // 16][128 * (slot % 16) : 128 * (slot % 16) + 128]
+        assert np.frombuffer(data, "<u2").tolist() == ids + [9] * (64 - len(ids))
+        assert (r.sequence, r.shard, r.byte_offset, r.n_ids, r.ids_crc32) == (i, slot // 16, 128 * (slot % 16), len(ids), zlib.crc32(data))
     assert sum(map(len, files.values())) == 128 * n
     assert training_order.materialise(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_ids_of_over_16_bits_are_refused(docs, tmp_path):
+    with pytest.raises(ValueError):
+        training_order.materialise(docs, f"file://{tmp_path}/wide", end_id=1 << 16)
+
+
 # --- decontamination
 
 
