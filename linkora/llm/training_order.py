@@ -87,6 +87,55 @@ def encoded(docs: DataFrame, length: int, end_id: int, vocabulary: bytes) -> Dat
     return staged(texts.mapInArrow(run, "part long, at long, ids binary"), "sequences", "zstd")
 
 
+class Recoder:
+    """A sequence's 16-bit ids for the shuffle: frequent ids take one byte, most others two, and the bytes are compressed.
+
+    ``rank[id]`` is the id's place by frequency. One stream has a byte for each id, two more the rest of the rarer ones.
+    """
+
+    ONE, THREE = 224, 255
+
+    def __init__(self, rank: np.ndarray):
+        self.rank, self.id_of, self.codec = rank, np.argsort(rank).astype("<u2"), pa.Codec("zstd", 3)
+        self.far = (self.THREE - self.ONE) << 8  # ranks from ONE on that take two bytes
+
+    def pack(self, ids: bytes) -> bytes:
+        rank = self.rank[np.frombuffer(ids, "<u2")].astype(np.int64)
+        rest = rank - self.ONE
+        first = np.where(rest < 0, rank, np.where(rest < self.far, self.ONE + (rest >> 8), self.THREE)).astype(np.uint8)
+        second = rest[(rest >= 0) & (rest < self.far)].astype(np.uint8)
+        data = first.tobytes() + second.tobytes() + rank[rest >= self.far].astype("<u2").tobytes()
+        return len(data).to_bytes(4, "little") + self.codec.compress(data, asbytes=True)
+
+    def unpack(self, packed: bytes, n: int) -> bytes:
+        """The ``n`` ids of a packed sequence."""
+        data = np.frombuffer(self.codec.decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True), np.uint8)
+        first, rank = data[:n], data[:n].astype(np.int64)
+        two, three = np.flatnonzero((first >= self.ONE) & (first < self.THREE)), np.flatnonzero(first == self.THREE)
+        rank[two] = self.ONE + ((rank[two] - self.ONE) << 8) + data[n : n + len(two)]
+        rank[three] = data[n + len(two) : n + len(two) + 2 * len(three)].view("<u2")
+        return self.id_of[rank].tobytes()
+
+
+def ranks(sequences: DataFrame) -> np.ndarray:
+    """The place of each 16-bit id by its frequency in the stored sequences, ties by id."""
+
+    def run(batches):
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for ids in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+
+    counts = np.zeros(1 << 16, np.int64)
+    for row in sequences.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most 65536 rows
+        counts[row.id] = row.n
+    rank = np.empty(1 << 16, np.uint16)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(1 << 16)
+    return rank
+
+
 def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pad_id: int = 0, per_shard: int = 4096, key: int = 42, most_tasks: int = 10_000, vocabulary: str | None = None) -> DataFrame:
     """Write the ids of whole ``docs`` (text) as shards of fixed-stride sequences in training order.
 
@@ -112,15 +161,15 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
     n, firsts = 0, {}
     for row in sequences.groupBy("part").agg((F.max("at") + 1).alias("n")).orderBy("part").collect():  # a number for each input partition
         firsts[row.part], n = n, n + row.n
+    rank = spark.sparkContext.broadcast(ranks(sequences))  # 128 kB
 
     def place(batches):
-        # a codec of its own for each sequence: what is shuffled is one sequence a row
-        codec = pa.Codec("zstd", 3)
+        recoder = Recoder(rank.value)
         for batch in batches:
             sequence = np.fromiter(map(firsts.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows) + batch.column(1).to_numpy()
-            slot, sizes = feistel(sequence, n, key), pc.binary_length(batch.column(2))
-            packed = [codec.compress(x, asbytes=True) for x in batch.column(2).to_pylist()]
-            yield pa.record_batch([pa.array(slot), pa.array(sequence), pa.array(slot // per_shard), pc.cast(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["slot", "sequence", "shard", "size", "ids"])
+            slot, sizes = feistel(sequence, n, key), pc.binary_length(batch.column(2)).to_numpy() // 2
+            packed = list(map(recoder.pack, batch.column(2).to_pylist()))
+            yield pa.record_batch([pa.array(slot), pa.array(sequence), pa.array(slot // per_shard), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["slot", "sequence", "shard", "size", "ids"])
 
     pad = np.array([pad_id], "<u2").tobytes()
 
@@ -131,7 +180,7 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
 
         store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         store.create_dir(root, recursive=True)
-        codec, shard, out, name = pa.Codec("zstd", 3), None, None, ""
+        recoder, shard, out, name = Recoder(rank.value), None, None, ""
 
         def close():
             if out:
@@ -145,10 +194,9 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1,
                     close()
                     shard, name = to, f"{root}/.shard-{to:06d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(name, compression=None, buffer_size=1 << 20)
-                ids = codec.decompress(ids, size, asbytes=True)
-                ids += pad * (length - size // 2)
+                ids = recoder.unpack(ids, size) + pad * (length - size)
                 out.write(ids)
-                rows.append((slot, sequence, to, stride * (slot % per_shard), size // 2, zlib.crc32(ids)))
+                rows.append((slot, sequence, to, stride * (slot % per_shard), size, zlib.crc32(ids)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["slot", "sequence", "shard", "byte_offset", "n_ids", "ids_crc32"])
         close()

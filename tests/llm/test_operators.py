@@ -421,6 +421,14 @@ def test_feistel_is_a_permutation(n, secret):
     assert training_order.inverse_feistel(slots, n, secret).tolist() == list(range(n))
 
 
+def test_recoding_can_be_undone():
+    r = np.random.default_rng(2)
+    recoder = training_order.Recoder(r.permutation(1 << 16).astype(np.uint16))
+    for ids in (np.zeros(1), np.arange(1 << 16), r.integers(0, 1 << 16, 2048), recoder.id_of[[0, 223, 224, 8159, 8160, 65535]]):
+        data = ids.astype("<u2").tobytes()
+        assert recoder.unpack(recoder.pack(data), len(ids)) == data
+
+
 def test_training_order_files(spark, docs, empty, tmp_path):
     path = f"file://{tmp_path}/order"
     stored = common.staged(docs, "docs")
