@@ -8,9 +8,13 @@ the sample; if they agree on ``length`` bytes, the sampled positions agree on ``
 ranks (equal or alone) of the sampled positions, v/|D| times fewer than suffixes, rule out all suffixes
 without a tied sample in reach, and only the rest enters the buckets.
 
-Within a bucket suffixes are ordered by a 64-bit polynomial key of their truncated text, not by the text:
-equality alone counts here, and the order among different suffixes does not. A key of 64 bits confuses two
-different strings with probability n^2 / 2^65 over n compared suffixes.
+Within a bucket suffixes are ordered by a key of their truncated text, not by the text: equality alone
+counts here, and the order among different suffixes does not. The key has 96 bits, of two independent
+polynomials, so it confuses two different strings with probability n^2 / 2^97 over n compared suffixes
+(6e-11 for 3e9 of them, all positions of 3 GB). The sample's keys are shorter; an error there costs work only.
+
+The same is done over words for passages of more than 50 words that another document has too: they are
+reported, not removed.
 """
 
 from __future__ import annotations
@@ -52,11 +56,14 @@ def difference_cover(p: int = 13) -> tuple[int, tuple[int, ...]]:
     raise ValueError("p must be prime")
 
 
-@functools.lru_cache(2)
-def _tables(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+@functools.lru_cache(4)
+def _tables(length: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random 64-bit value for each byte, and powers of an odd base and of its inverse modulo 2^64."""
-    values = splitmix64(np.arange(256, dtype=np.uint64) + np.uint64(0xC0FFEE)) | np.uint64(1)
-    base = 0x9E3779B97F4A7C15
+    values = splitmix64(np.arange(256, dtype=np.uint64) + np.uint64(0xC0FFEE + (which << 20))) | np.uint64(1)
+    base = BASES[which]
     inverse, one = pow(base, -1, 1 << 64), np.ones(1, np.uint64)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.concatenate((one, np.full(SEGMENT + length, base, np.uint64))), dtype=np.uint64)
@@ -64,9 +71,9 @@ def _tables(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, powers, back
 
 
-def window_keys(data: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray:
-    """The 64-bit key of ``data[s : s + length]`` for each of the ascending ``starts``."""
-    values, powers, back = _tables(length)
+def window_keys(data: np.ndarray, length: int, starts: np.ndarray, which: int = 0) -> np.ndarray:
+    """The 64-bit key of ``data[s : s + length]`` (bytes, or words by their hashes) for each of the ascending ``starts``."""
+    values, powers, back = _tables(length, which)
     out = np.empty(len(starts), np.uint64)
     bounds = np.searchsorted(starts, np.arange(0, len(data) + SEGMENT, SEGMENT))
     with np.errstate(over="ignore"):
@@ -76,40 +83,58 @@ def window_keys(data: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray
             part = data[k * SEGMENT : (k + 1) * SEGMENT + length - 1]
             sums = np.empty(len(part) + 1, np.uint64)
             sums[0] = 0
-            np.cumsum(values[part] * powers[: len(part)], out=sums[1:])
+            np.cumsum((values[part] if part.dtype == np.uint8 else splitmix64(part ^ np.uint64(which))) * powers[: len(part)], out=sums[1:])
             at = starts[low:high] - k * SEGMENT
             out[low:high] = (sums[at + length] - sums[at]) * back[at]
     return splitmix64(out)
 
 
-class Block:
-    """The texts of one block, those in ``skip`` (copies of a text elsewhere) left out of all sampling."""
-
-    def __init__(self, data: bytes, lengths: list[int], skip: set[int], length: int, p: int):
-        self.data = np.frombuffer(data, np.uint8)
-        self.ends = np.cumsum(lengths, dtype=np.int64)
-        self.starts = self.ends - np.array(lengths, np.int64)
-        self.used = [i for i in range(len(lengths)) if i not in skip and lengths[i] >= length]
-        self.length, (self.v, self.cover) = length, difference_cover(p)
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the words ``[^\\x20\\x09-\\x0D]+`` of texts that begin at ``starts`` in ``data`` and follow each other."""
+    inside = ~_SPACES[data]
+    edge = np.zeros(len(data), bool)
+    edge[starts[starts < len(data)]] = True
+    first = inside & (edge | ~np.concatenate(([False], inside[:-1])))
+    first = np.flatnonzero(first)
+    if not len(first):
+        return first, np.zeros(0, np.uint64)
+    at = np.flatnonzero(inside)
+    bounds = np.searchsorted(at, first)
+    within = at - np.repeat(first, np.diff(np.append(bounds, len(at))))
+    values, _, _ = _tables(1, 0)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(within.max()), BASES[1], np.uint64))), dtype=np.uint64)
+        return first, splitmix64(np.add.reduceat(values[data[at]] * powers[within], bounds))
+
+
+class Strings:
+    """Strings of ``length`` units, bytes or words, in texts ``ends[i-1]`` to ``ends[i]`` of ``data``; of ``texts`` alone."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, texts: list[int], length: int, p: int):
+        self.data, self.ends, self.length, (self.v, self.cover) = data, ends, length, difference_cover(p)
+        self.starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        self.used = [i for i in texts if self.ends[i] - self.starts[i] >= length]
         self.width = length - self.v + 1
 
     def sample(self) -> np.ndarray:
-        """All cover positions with ``width`` bytes left in their text."""
+        """All cover positions with ``width`` units left in their text."""
         longest = max((int(self.ends[i] - self.starts[i]) for i in self.used), default=0)
         grid = (np.arange(0, longest, self.v)[:, None] + np.array(self.cover)).ravel()
         parts = [self.starts[i] + grid[: np.searchsorted(grid, self.ends[i] - self.starts[i] - self.width, "right")] for i in self.used]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    def sample_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        at = self.sample()
-        return at, window_keys(self.data, self.width, at)
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
 
-    def candidates(self, at: np.ndarray, tied: np.ndarray) -> np.ndarray:
-        """Starts of all suffixes that hold a tied sample at a shift below v and have ``length`` bytes."""
-        at = at[tied]
+    def candidates(self, at: np.ndarray) -> np.ndarray:
+        """Starts of all suffixes that hold one of the tied samples ``at`` at a shift below v and have ``length`` units."""
         if not len(at):
             return at
-        text = np.searchsorted(self.ends, at, "right")
+        text = self.text_of(at)
         low = np.maximum(self.starts[text], at - self.v + 1)
         high = np.minimum(at, self.ends[text] - self.length) + 1
         keep = high > low
@@ -117,50 +142,102 @@ class Block:
         depth = np.bincount(low[keep], minlength=n) - np.bincount(high[keep], minlength=n)
         return np.flatnonzero(np.cumsum(depth) > 0)
 
-    def removed(self, starts: np.ndarray) -> np.ndarray:
-        """Which bytes the windows at ``starts`` cover."""
+    def covered(self, starts: np.ndarray) -> np.ndarray:
+        """Which units the strings at ``starts`` cover."""
         n = len(self.data) + 1
         depth = np.bincount(starts, minlength=n) - np.bincount(starts + self.length, minlength=n)
         return np.cumsum(depth)[:-1] > 0
 
 
 class Ranks:
-    """Keys of a block against all blocks: distinct ones go out by bucket, and come back as one bit each."""
+    """Keys of a block against all blocks: distinct ones go out by bucket, and come back as one bit each.
 
-    def __init__(self, keys: np.ndarray, bits: int):
-        self.keys, self.inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        self.here = counts > 1
-        self.bits = bits
-        bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    ``check`` is the second part of a key, 32 bits of another polynomial; without it 56 bits of the first are sent.
+    A key is tied here if two different ``owner`` (by default, two places) have it. ``kind`` keeps sorts of keys apart.
+    """
+
+    def __init__(self, keys: np.ndarray, bits: int, kind: int, check: np.ndarray | None = None, owner: np.ndarray | None = None):
+        self.kind, self.bits, wide = kind, bits, check is not None
+        keys = keys if wide else keys >> np.uint64(8)
+        order = np.argsort(keys, kind="stable")
+        if wide and len(keys) and ((keys[order][1:] == keys[order][:-1]) & (check[order][1:] != check[order][:-1])).any():
+            order = np.lexsort((check, keys))  # stable as well
+        keys = keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        if wide:
+            check = check[order]
+            new[1:] |= check[1:] != check[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first, len(keys))[1:] - 1
+        self.here = order[first] != order[last] if owner is None else owner[order[first]] != owner[order[last]]
+        self.inverse = np.empty(len(keys), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.keys, self.checks = keys[first], check[first] if wide else None
+        bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64((64 if wide else 56) - bits)
         self.edges = [0, *np.searchsorted(self.keys, bounds).tolist(), len(self.keys)]
 
     def outgoing(self) -> list[tuple[int, bytes]]:
-        return [(b, self.keys[low:high].tobytes()) for b, (low, high) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)) if high > low]
+        whole = self.keys.astype("<u8").view(np.uint8).reshape(-1, 8)
+        rows = whole[:, :7] if self.checks is None else np.concatenate((whole, self.checks.astype("<u4").view(np.uint8).reshape(-1, 4)), axis=1)
+        return [(self.kind << 24 | b, rows[low:high].tobytes()) for b, (low, high) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)) if high > low]
 
     def tied(self, answers: dict[int, bytes]) -> np.ndarray:
-        """For each key given, whether it is anywhere else."""
+        """For each key given, whether another owner, here or in another block, has it."""
         elsewhere = np.zeros(len(self.keys), bool)
         for bucket, mask in answers.items():
-            low, high = self.edges[bucket], self.edges[bucket + 1]
-            elsewhere[low:high] = np.unpackbits(np.frombuffer(mask, np.uint8), count=high - low)
+            if bucket >> 24 == self.kind:
+                low, high = self.edges[bucket & 0xFFFFFF], self.edges[(bucket & 0xFFFFFF) + 1]
+                elsewhere[low:high] = np.unpackbits(np.frombuffer(mask, np.uint8), count=high - low)
         return (self.here | elsewhere)[self.inverse]
 
 
-def sort_bucket(rows: pa.Table) -> pa.Table:
-    """Sort one bucket's keys of all blocks; a bit for each: does another block have it?"""
+class Block:
+    """The texts of one block, those in ``skip`` (copies of a text elsewhere) left out of all sampling; as bytes and as words."""
+
+    def __init__(self, row: dict, length: int, p: int, words: int, words_p: int, bits: int):
+        data, lengths, skip = np.frombuffer(row["data"], np.uint8), np.array(row["lengths"], np.int64), set(row["skip"] or ())
+        ends, texts, self.bits = np.cumsum(lengths), [i for i in range(len(lengths)) if i not in skip], bits
+        place, hashes = words_of(data, ends - lengths)
+        self.n_words = np.diff(np.searchsorted(place, np.concatenate(([0], ends))))
+        self.bytes = Strings(data, ends, texts, length, p)
+        self.words = Strings(hashes, np.cumsum(self.n_words), texts, words, words_p)
+
+    def sample_ranks(self) -> list[tuple[np.ndarray, Ranks]]:
+        out = []
+        for kind, x in enumerate((self.bytes, self.words)):
+            at = x.sample()
+            out.append((at, Ranks(window_keys(x.data, x.width, at), self.bits, kind)))
+        return out
+
+    def suffix_ranks(self, answers: dict[int, bytes]) -> list[tuple[np.ndarray, Ranks]]:
+        """Suffixes in reach of tied samples. Bytes tie wherever else they are, words in another text only."""
+        out = []
+        for kind, (x, (at, ranks)) in enumerate(zip((self.bytes, self.words), self.sample_ranks(), strict=True)):
+            starts = x.candidates(at[ranks.tied(answers)])
+            check = window_keys(x.data, x.length, starts, 1).astype(np.uint32)
+            out.append((starts, Ranks(window_keys(x.data, x.length, starts), self.bits, kind, check, x.text_of(starts) if kind else None)))
+        return out
+
+
+def sort_bucket(rows: pa.Table, size: int) -> pa.Table:
+    """Sort one bucket's keys (of ``size`` bytes) of all blocks; a bit for each: does another block have it?"""
     blocks, blobs = rows.column("block").to_pylist(), rows.column("keys").to_pylist()
-    parts = [np.frombuffer(b, np.uint64) for b in blobs]
-    keys = np.concatenate(parts)
+    counts = [len(b) // size for b in blobs]
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, size)
+    padded = np.zeros((len(raw), 8), np.uint8)
+    padded[:, : min(8, size)] = raw[:, :8]
+    keys = padded.view("<u8").ravel()
     order = np.argsort(keys, kind="stable")
-    in_order = keys[order]
-    same = in_order[1:] == in_order[:-1]
+    same = keys[order][1:] == keys[order][:-1]
+    if size > 8:
+        check = np.ascontiguousarray(raw[:, 8:]).view("<u4").ravel()
+        if (same & (check[order][1:] != check[order][:-1])).any():
+            order = np.lexsort((check, keys))
+        same = (keys[order][1:] == keys[order][:-1]) & (check[order][1:] == check[order][:-1])
     tied = np.zeros(len(keys), bool)
     tied[order[1:]] = same
     tied[order[:-1]] |= same
-    masks, at = [], 0
-    for part in parts:
-        masks.append(np.packbits(tied[at : at + len(part)]).tobytes())
-        at += len(part)
+    masks = [np.packbits(x).tobytes() for x in np.split(tied, np.cumsum(counts)[:-1])]
     return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": rows.column("bucket"), "mask": pa.array(masks, pa.binary())})
 
 
@@ -206,32 +283,37 @@ def _answers(listed: list | None) -> dict[int, bytes]:
     return {x["bucket"]: x["mask"] for x in listed or ()}
 
 
-def _exchange(blobs: DataFrame, name: str) -> DataFrame:
+def _exchange(blobs: DataFrame, name: str, size: int) -> DataFrame:
     """(block, answers) from (block, bucket, keys): each bucket is sorted in one task, and answers by block."""
-    masks = blobs.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket int, mask binary")
+
+    def run(rows: pa.Table) -> pa.Table:
+        return sort_bucket(rows, size)
+
+    masks = blobs.groupBy("bucket").applyInArrow(run, "block long, bucket int, mask binary")
     return staged(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias(name)), name)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, p: int = 13, block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, p: int = 13, words: int = 51, words_p: int = 5, block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Remove from whole ``docs`` (doc_id, text) each byte inside a ``length``-byte string that also starts elsewhere.
 
     Returns a row for each input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
-    (of the remaining bytes). Texts are UTF-8 bytes, null ones empty; strings never cross texts; overlaps
-    count; all is judged on the input. Texts below ``length`` lose nothing; repeated rows are copies of each
-    other and lose all (from ``length`` bytes on); an empty table gives no rows; other columns are ignored.
+    (of the remaining bytes), n_shared_words (words inside a run of ``words`` that another row has too, however
+    many bytes it has). Texts are UTF-8 bytes, null ones empty; strings never cross texts; overlaps count; all is
+    judged on the input. Texts below ``length`` lose nothing; repeated rows are copies of each other and lose all
+    (from ``length`` bytes on); an empty table gives no rows; other columns are ignored.
 
     Equal texts are found first, by digest: one of them stands for all in what follows. A block sends each
     distinct key once, so a passage in many texts costs a bucket one key for each block. A task holds one
-    block or one bucket of about ``bucket_bytes`` keys; text moves once, into the blocks.
+    block or one bucket of about ``bucket_bytes`` keys; text moves once, into the blocks. A text longer than
+    ``block_bytes`` is a block of its own and needs up to a hundred times its bytes of memory where it repeats.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 2000)
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     bits = max(4, (total // bucket_bytes).bit_length())
     blocks = _blocks(docs, block_bytes, max(1, min(10_000, -(-total // (8 * block_bytes)))))
-    v, _ = difference_cover(p)
-    if length < 2 * v:
-        raise ValueError("the cover's period must not exceed half the length")
+    if length < 2 * difference_cover(p)[0] or words <= difference_cover(words_p)[0]:
+        raise ValueError("the cover's period is too long for the strings")
 
     texts = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "digests", "lengths")).alias("at", "x")).select("block", "at", F.col("x.doc_ids").alias("doc_id"), F.col("x.digests").alias("digest"), F.col("x.lengths").alias("n_bytes"))
     texts = staged(texts, "texts")
@@ -240,45 +322,40 @@ def remove_repeats(docs: DataFrame, length: int = 400, p: int = 13, block_bytes:
     skips = texts.join(copied, "digest").filter("block <> first_block or at <> first_at").groupBy("block").agg(F.collect_list("at").alias("skip"))
     skips = staged(skips, "skips")
 
-    def block_of(row: dict) -> Block:
-        return Block(row["data"], row["lengths"], set(row["skip"] or ()), length, p)
-
-    def rows_of(batches):
+    def blocks_of(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield batch.slice(i, 1).to_pylist()[0]
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield row, Block(row, length, p, words, words_p, bits)
 
-    def sent(block: int, ranks: Ranks) -> pa.RecordBatch:
-        out = ranks.outgoing()
+    def sent(block: int, found: list[tuple[np.ndarray, Ranks]]) -> pa.RecordBatch:
+        out = [x for _, ranks in found for x in ranks.outgoing()]
         return pa.record_batch([pa.array([block] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int32()), pa.array([k for _, k in out], pa.binary())], names=["block", "bucket", "keys"])
 
     def sample_out(batches):
-        for row in rows_of(batches):
-            yield sent(row["block"], Ranks(block_of(row).sample_keys()[1], bits))
-
-    def suffixes_of(row: dict) -> tuple[Block, np.ndarray, Ranks]:
-        block = block_of(row)
-        at, keys = block.sample_keys()
-        starts = block.candidates(at, Ranks(keys, bits).tied(_answers(row["sample"])))
-        return block, starts, Ranks(window_keys(block.data, length, starts), bits)
+        for row, block in blocks_of(batches):
+            yield sent(row["block"], block.sample_ranks())
 
     def suffixes_out(batches):
-        for row in rows_of(batches):
-            yield sent(row["block"], suffixes_of(row)[2])
+        for row, block in blocks_of(batches):
+            yield sent(row["block"], block.suffix_ranks(_answers(row["sample"])))
 
     def result(batches):
-        for row in rows_of(batches):
-            block, starts, ranks = suffixes_of(row)
-            gone = block.removed(starts[ranks.tied(_answers(row["suffixes"]))])
+        for row, block in blocks_of(batches):
+            answers = _answers(row["suffixes"])
+            gone, shared = (x.covered(starts[ranks.tied(answers)]) for x, (starts, ranks) in zip((block.bytes, block.words), block.suffix_ranks(_answers(row["sample"])), strict=True))
+            in_text = np.concatenate(([0], np.cumsum(shared)))
+            in_text = in_text[block.words.ends] - in_text[block.words.starts]
             out = []
-            for i in range(len(block.ends)):
-                low, high = int(block.starts[i]), int(block.ends[i])
+            for i, (low, high) in enumerate(zip(block.bytes.starts.tolist(), block.bytes.ends.tolist(), strict=True)):
                 cut = gone[low:high]
                 n = int(cut.sum())
-                kept = block.data[low:high][~cut] if n else block.data[low:high]
-                out.append((row["block"], i, n, int(np.count_nonzero(np.diff(cut.astype(np.int8), prepend=0) == 1)) if n else 0, hashlib.sha256(kept.tobytes()).hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["block", "at", "n_removed", "n_spans", "kept_sha256"])
+                kept = block.bytes.data[low:high][~cut] if n else block.bytes.data[low:high]
+                spans = int(np.count_nonzero(np.diff(cut.astype(np.int8), prepend=0) == 1)) if n else 0
+                out.append((row["block"], i, n, spans, hashlib.sha256(kept.tobytes()).hexdigest(), int(block.n_words[i]), int(in_text[i])))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "at", "n_removed", "n_spans", "kept_sha256", "n_words", "n_shared_words"])
 
     def beside(*more: DataFrame) -> DataFrame:
         out = blocks.select("block", "lengths", "data")
@@ -286,12 +363,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, p: int = 13, block_bytes:
             out = out.join(x.hint("shuffle_hash"), "block", "left")
         return out
 
-    sample = _exchange(beside(skips).mapInArrow(sample_out, "block long, bucket int, keys binary"), "sample")
-    suffixes = _exchange(beside(skips, sample).mapInArrow(suffixes_out, "block long, bucket int, keys binary"), "suffixes")
-    found = beside(skips, sample, suffixes).mapInArrow(result, "block long, at int, n_removed long, n_spans long, kept_sha256 string")
-    by_digest = firsts.join(found, ["block", "at"]).select("digest", "copies", "n_removed", "n_spans", "kept_sha256")
+    sample = _exchange(beside(skips).mapInArrow(sample_out, "block long, bucket int, keys binary"), "sample", 7)
+    suffixes = _exchange(beside(skips, sample).mapInArrow(suffixes_out, "block long, bucket int, keys binary"), "suffixes", 12)
+    found = beside(skips, sample, suffixes).mapInArrow(result, "block long, at int, n_removed long, n_spans long, kept_sha256 string, n_words long, n_shared_words long")
+    by_digest = firsts.join(found, ["block", "at"]).drop("block", "at")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return texts.join(staged(by_digest, "results"), "digest").select(
         "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), F.when(whole, F.col("n_bytes").cast("long")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.col("n_shared_words")).alias("n_shared_words"),
     )

@@ -193,20 +193,40 @@ def test_difference_cover(p):
     assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
-@pytest.mark.parametrize(("length", "p"), [(400, 13), (40, 3), (16, 2)])
-def test_substring_dedup(spark, docs, length, p):
+def brute_shared_words(texts, words):
+    split = [re.findall(b"[^\x20\x09-\x0d]+", t) for t in texts]
+    owners = defaultdict(set)
+    for d, w in enumerate(split):
+        for i in range(len(w) - words + 1):
+            owners[tuple(w[i : i + words])].add(d)
+    return [len({j for i in range(len(w) - words + 1) if len(owners[tuple(w[i : i + words])]) > 1 for j in range(i, i + words)}) for w in split]
+
+
+@pytest.mark.parametrize(("length", "p", "words", "words_p"), [(400, 13, 51, 5), (40, 3, 8, 2), (16, 2, 15, 3)])
+def test_substring_dedup(spark, docs, length, p, words, words_p):
     extra = [prose(7, 200)[: 400 + k] + prose(900 + k, 20) for k in range(4)] + ["q" * 399, "q" * 800, "ab" * 500, prose(8, 90)[:400], "z" + prose(8, 90)[:400]]
+    extra += ["a b " * 40, "a\tb " * 40, "c " * 90 + "\n" + "d " * 90, prose(9, 51), "x " + prose(9, 51) + "\u00a0y", prose(9, 50) + "z"]
     data = rows() + [(1000 + i, t) for i, t in enumerate(extra)]
     table = spark.createDataFrame([(i, t, "n") for i, t in data], "doc_id long, text string, n_bytes string").repartition(4)
     texts = [(t or "").encode() for _, t in data]
     wanted = []
-    for (doc_id, _), text, gone in zip(data, texts, brute_substrings(texts, length), strict=True):
+    for (doc_id, _), text, gone, shared in zip(data, texts, brute_substrings(texts, length), brute_shared_words(texts, words), strict=True):
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        wanted.append((doc_id, len(text), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    found = [tuple(r) for r in substring_dedup.remove_repeats(table, length=length, p=p, block_bytes=3000).collect()]
+        wanted.append((doc_id, len(text), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), shared))
+    found = [tuple(r) for r in substring_dedup.remove_repeats(table, length=length, p=p, words=words, words_p=words_p, block_bytes=3000).collect()]
     assert sorted(found, key=key) == sorted(wanted, key=key)
 
 
+def test_keys_that_agree_in_their_first_part_only_are_not_tied():
+    keys, check = np.array([5, 5, 5, 9], np.uint64) << np.uint64(8), np.array([1, 2, 1, 1], np.uint32)
+    ranks = substring_dedup.Ranks(keys, 4, 0, check)
+    assert ranks.tied({}).tolist() == [True, False, True, False]
+    blobs = [x for _, x in ranks.outgoing()]
+    table = pa.table({"block": pa.array([1, 2], pa.int64()), "bucket": pa.array([0, 0], pa.int32()), "keys": pa.array([blobs[0], blobs[0][12:24]], pa.binary())})
+    masks = substring_dedup.sort_bucket(table, 12).column("mask").to_pylist()
+    assert [np.unpackbits(np.frombuffer(m, np.uint8)).tolist()[:n] for m, n in zip(masks, (3, 1), strict=True)] == [[0, 1, 0], [1]]
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
