@@ -1,99 +1,109 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is divided by document: each row holds the postings of one document for the terms of the test
-set, and is stored once. A search sends the test windows, which are bounded, to the rows; the rows of a
-batch are merged to posting lists, and each window's lists are intersected, offset-adjusted, from its
-rarest term on.
+The index holds the postings of every word of the corpus and is stored once, for any number of test sets. It
+is divided by document: a row is a segment, the inverted lists of a batch of documents, so building it
+shuffles nothing. A search sends the test windows, in blocks of a bounded size, to the segments; each window's lists
+are intersected, offset-adjusted, from its rarest term on. Terms are 64-bit hashes of words: of n different
+words two share one with probability n^2 / 2^65, and a window of several words needs as many such accidents.
 """
 
 from __future__ import annotations
 
 import functools
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
+from .hashing import hashed_words
 
 #: A-Z to a-z; every ASCII byte that is no letter or digit to a space; bytes over 0x7F belong to words.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+_FOLDED = np.frombuffer(WORD_TABLE, np.uint8)
+_OUTSIDE = np.arange(256) == 32
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(WORD_TABLE).split() if text else []
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of all words of an array of binary texts, bounds of the texts in them); null has none."""
+    texts = texts.fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    places, terms = hashed_words(_FOLDED[data], _OUTSIDE, offsets[:-1] - offsets[0])
+    return terms, np.searchsorted(places, offsets - offsets[0])
 
 
 @dataclass
 class TestSet:
-    """Windows over a vocabulary: ``terms[i]`` is a window's term ids, ``items[i]`` the items it comes from."""
+    """Windows over a vocabulary of ascending terms: ``terms[i]`` is a window's places in it, ``items[i]`` the items it comes from."""
 
-    vocabulary: dict[bytes, int]
+    vocabulary: np.ndarray
     terms: list[tuple[int, ...]]
     items: list[list[str]]
 
 
-def windows_of(benchmark: DataFrame, length: int = 13, most_bytes: int = 4 << 20) -> list[TestSet]:
+def windows_of(benchmark: DataFrame, length: int = 13, most_bytes: int = 4 << 20) -> Iterator[TestSet]:
     """The distinct windows of ``length`` words of all items (item_id, text); an item of fewer words is one window.
 
-    Items are taken in blocks of ``most_bytes`` of text, a test set each, so that what is sent to the
-    executors is bounded. Items without words have no window.
+    Items are taken in blocks of ``most_bytes`` of text, a test set each and one at a time, so that what the driver
+    holds and the executors get is bounded (by a block and one item). Items without words have no window.
     """
-    out, size, vocabulary, windows = [], 0, {}, {}
+    size, windows = 0, {}
 
-    def close():
-        if windows:
-            out.append(TestSet(vocabulary, list(windows), [sorted(x) for x in windows.values()]))
+    def closed() -> TestSet:
+        vocabulary = np.unique(np.fromiter((t for w in windows for t in w), np.uint64))
+        return TestSet(vocabulary, [tuple(np.searchsorted(vocabulary, np.array(w, np.uint64)).tolist()) for w in windows], [sorted(x) for x in windows.values()])
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).orderBy("item_id", "text")
     for row in rows.toLocalIterator():
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(row.text and bytes(row.text))]
-        if not ids:
+        terms = terms_of(pa.array([row.text and bytes(row.text)], pa.binary()))[0].tolist()
+        if not terms:
             continue
-        for at in range(max(1, len(ids) - length + 1)):
-            windows.setdefault(tuple(ids[at : at + length]), set()).add(row.item_id)
+        for at in range(max(1, len(terms) - length + 1)):
+            windows.setdefault(tuple(terms[at : at + length]), set()).add(row.item_id)
         size += len(row.text)
         if size >= most_bytes:
-            close()
-            size, vocabulary, windows = 0, {}, {}
-    close()
-    return out
+            yield closed()
+            size, windows = 0, {}
+    if windows:
+        yield closed()
+
 
+INDEX = "doc_ids array<long>, rows array<long>, n_words array<long>, terms binary, counts binary, places binary"
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The stored index: doc_id, row, n_words, terms (ids, ascending) and positions, of all words in ``vocabulary``.
 
-    ``terms`` and ``positions`` are little-endian 32-bit arrays, a document's postings ordered by term, then place.
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of whole ``docs`` (doc_id, text): a row for each segment, whose documents have numbers of their own in ``rows``.
+
+    ``terms`` are a segment's terms, ascending (64 bits), ``counts`` the lengths of their lists and ``places`` the
+    lists (32 bits, little-endian): ascending word numbers, counted through the segment's documents, as differences.
     """
     bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(vocabulary))
 
     def run(batches):
-        known = _unpickled(sent.value)
         for batch in batches:
-            n, terms, places = [], [], []
-            for text in batch.column(2).to_pylist():
-                words = words_of(text)
-                ids = np.fromiter(map(known.get, words, _absent(len(words))), np.int32, len(words))
-                at = np.flatnonzero(ids >= 0)
-                ids = ids[at]
-                order = np.argsort(ids, kind="stable")
-                n.append(len(words))
-                terms.append(ids[order].astype("<i4").tobytes())
-                places.append(at[order].astype("<i4").tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(terms, pa.binary()), pa.array(places, pa.binary())], names=["doc_id", "row", "n_words", "terms", "positions"])
+            terms, bounds = terms_of(batch.column(2))
+            order = np.argsort(terms, kind="stable")
+            known, first, counts = np.unique(terms[order], return_index=True, return_counts=True)
+            places = np.diff(order, prepend=0)
+            places[first] = order[first]
+            columns = [[batch.column(0).to_pylist()], [batch.column(1).to_pylist()], [np.diff(bounds).tolist()], [known.astype("<u8").tobytes()], [counts.astype("<i4").tobytes()], [places.astype("<i4").tobytes()]]
+            types = [pa.list_(pa.int64())] * 3 + [pa.binary()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_ids", "rows", "n_words", "terms", "counts", "places"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, n_words long, terms binary, positions binary")
-
+    return staged(rows.mapInArrow(run, INDEX), "index", "zstd")
 
-def _absent(n: int):
-    import itertools
 
-    return itertools.repeat(-1, n)
+def documents(index: DataFrame) -> DataFrame:
+    """doc_id, row and n_words of the documents of an index."""
+    rows = index.select(F.explode(F.arrays_zip("doc_ids", "rows", "n_words")).alias("x"))
+    return rows.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.rows").alias("row"), F.col("x.n_words").alias("n_words"))
 
 
 @functools.lru_cache(4)
@@ -101,19 +111,29 @@ def _unpickled(data: bytes):
     return pickle.loads(data)
 
 
-def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
-    """How often each term of the test set occurs in the whole index."""
+def _found(vocabulary: np.ndarray, terms: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``vocabulary`` a segment has, where among its terms)."""
+    own = np.frombuffer(terms, "<u8")
+    at = np.minimum(np.searchsorted(own, vocabulary), len(own) - 1)
+    which = np.flatnonzero(own[at] == vocabulary) if len(own) else np.zeros(0, np.int64)
+    return which, at[which]
+
+
+def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each term of a test set occurs in the whole index; lists are not read."""
+    sent = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        total = np.zeros(n_terms, np.int64)
+        total = np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(data, "<i4"), minlength=n_terms)
+            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                which, at = _found(sent.value, terms)
+                total[which] += np.frombuffer(counts, "<i4")[at]
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
 
-    out = np.zeros(n_terms, np.int64)
-    for row in index.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    out = np.zeros(len(vocabulary), np.int64)
+    for row in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row.term] = row.n
     return out
 
@@ -122,6 +142,7 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
 class Plan:
     """A test set's windows as arrays: terms and offsets of each from its rarest term on (padded by the last)."""
 
+    vocabulary: np.ndarray
     lengths: np.ndarray
     terms: np.ndarray
     offsets: np.ndarray
@@ -140,132 +161,128 @@ def plan_of(tests: TestSet, counts: np.ndarray) -> Plan:
         terms[i], offsets[i] = [window[k] for k in order], order
     by_rarest = np.argsort(terms[:, 0], kind="stable")
     starts = np.searchsorted(terms[by_rarest, 0], np.arange(len(tests.vocabulary) + 1))
-    return Plan(lengths, terms, offsets, tests.items, by_rarest, starts)
+    return Plan(tests.vocabulary, lengths, terms, offsets, tests.items, by_rarest, starts)
 
 
-def intersect(plan: Plan, terms: np.ndarray, places: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start place) of all exact phrases, from postings sorted by (term, place)."""
-    if not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # every posting of a term that is some window's rarest, once for each such window
-    per_posting = plan.starts[terms + 1] - plan.starts[terms]
-    posting = np.repeat(np.arange(len(terms)), per_posting)
-    within = np.arange(len(posting)) - np.repeat(np.cumsum(per_posting) - per_posting, per_posting)
-    window = plan.by_rarest[plan.starts[terms[posting]] + within]
-    start = places[posting] - plan.offsets[window, 0]
-    key = terms.astype(np.int64) * span + places
-    keep = start >= 0
-    window, start = window[keep], start[keep]
-    for k in range(1, plan.terms.shape[1]):
-        if not len(window):
-            break
-        wanted = plan.terms[window, k].astype(np.int64) * span + start + plan.offsets[window, k]
-        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        keep = key[at] == wanted
-        window, start = window[keep], start[keep]
-    return window, start
-
+def intersect(plan: Plan, terms: np.ndarray, places: np.ndarray, span: int, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place of its rarest term) wherever all its terms stand within ``slop`` words of where the phrase has them.
 
-def near(plan: Plan, terms: np.ndarray, places: np.ndarray, span: int, rarest: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, place of its rarest term) where its ``rarest`` rarest terms all stand within ``slop`` words of their places, in any order."""
+    Without slop these are the exact phrases. Postings are sorted by (term, place), places below ``span``.
+    """
     if not len(terms):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # every posting of a term that is some window's rarest, once for each such window
     per_posting = plan.starts[terms + 1] - plan.starts[terms]
     posting = np.repeat(np.arange(len(terms)), per_posting)
     within = np.arange(len(posting)) - np.repeat(np.cumsum(per_posting) - per_posting, per_posting)
     window, place = plan.by_rarest[plan.starts[terms[posting]] + within], places[posting]
     key = terms.astype(np.int64) * span + places
-    for k in range(1, min(rarest, plan.terms.shape[1])):
+    for k in range(1, plan.terms.shape[1]):
         if not len(window):
             break
         wanted = plan.terms[window, k].astype(np.int64) * span + place - plan.offsets[window, 0] + plan.offsets[window, k]
-        keep = np.searchsorted(key, wanted + slop, "right") > np.searchsorted(key, wanted - slop)
+        at = np.searchsorted(key, wanted - slop)
+        keep = key[np.minimum(at, len(key) - 1)] - wanted
+        keep = (keep >= -slop) & (keep <= slop)
         window, place = window[keep], place[keep]
     return window, place
 
 
-HITS = "doc_id long, row long, n_words long, n_hit long, n_near long, items array<string>, spans array<struct<start:long,stop:long>>"
+HITS = "row long, items array<string>, spans array<struct<start:long,stop:long>>, near array<struct<item:string,place:long>>"
+_SPANS, _NEAR = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.struct([("item", pa.string()), ("place", pa.int64())]))
+
+
+def _by_document(first: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(document, which of ``places`` are in it)."""
+    order = np.argsort(places, kind="stable")
+    doc = np.searchsorted(first, places[order], "right") - 1
+    cuts = np.flatnonzero(np.diff(doc)) + 1
+    for part in np.split(order, cuts) if len(order) else ():
+        yield int(np.searchsorted(first, places[part[0]], "right") - 1), part
 
 
-def search(index: DataFrame, tests: TestSet, rarest: int = 5, slop: int = 3) -> DataFrame:
-    """Look up a test set in ``index``. Returns a row for each document: doc_id, row, n_words, n_hit, n_near, items, spans.
+def search(index: DataFrame, tests: TestSet, slop: int = 3) -> DataFrame:
+    """Look up a test set in ``index``. Returns a row for each document with a match: row, items, spans, near.
 
-    ``spans`` are the maximal runs [start, stop) of words inside exact windows, ``n_hit`` their words,
-    ``items`` the items with occurring windows, sorted as strings. ``n_near`` counts windows whose ``rarest``
-    rarest terms stand within ``slop`` words of where the phrase has them (exact phrases among them).
+    ``spans`` are the maximal runs [start, stop) of words inside exact windows, ``items`` the items with occurring
+    windows, sorted as strings. ``near`` are the places of the rarest terms of windows all of whose terms stand
+    within ``slop`` words of where the phrase has them, with the windows' items (exact phrases among them).
     """
-    bounded_batches(index.sparkSession, 1000)
-    counts = term_counts(index, len(tests.vocabulary))
-    sent = index.sparkSession.sparkContext.broadcast(pickle.dumps(plan_of(tests, counts)))
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_near", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+    sent = index.sparkSession.sparkContext.broadcast(pickle.dumps(plan_of(tests, term_counts(index, tests.vocabulary))))
+
+    def matches(plan: Plan, rows, n_words, terms, counts, places):
+        which, at = _found(plan.vocabulary, terms)
+        counts, gap = np.frombuffer(counts, "<i4").astype(np.int64), int(plan.lengths.max()) + slop + 1  # a gap between two documents, so no window spans both
+        stops = np.cumsum(counts)
+        n = counts[at]
+        if not len(n):
+            return
+        lists = np.frombuffer(places, "<i4").astype(np.int64)
+        lists = lists[np.repeat(stops[at] - np.cumsum(n), n) + np.arange(n.sum())]
+        ends = np.cumsum(n)
+        sums = np.cumsum(lists)
+        p = sums - np.repeat(np.concatenate(([0], sums[ends[:-1] - 1])), n)
+        t = np.repeat(which, n)
+        base = np.cumsum(n_words) - n_words  # each document's first word, here and with the gaps
+        spread = base + gap * np.arange(len(base))
+        p = p + gap * (np.searchsorted(base, p, "right") - 1 if (n_words > 0).all() else _owner(base, n_words, p))
+        span = int(spread[-1] + n_words[-1] + 2 * gap)
+        found: dict[int, list] = {}
+        window, place = intersect(plan, t, p, span)
+        start = place - plan.offsets[window, 0]
+        for d, part in _by_document(spread, start):
+            a, w = start[part] - spread[d], window[part]
+            stop, edges = np.maximum.accumulate(a + plan.lengths[w]), []
+            new = np.flatnonzero(np.concatenate(([True], a[1:] > stop[:-1])))
+            edges = zip(a[new].tolist(), stop[np.append(new, len(a))[1:] - 1].tolist(), strict=True)
+            found[d] = [sorted({x for k in np.unique(w).tolist() for x in plan.items[k]}), [{"start": x, "stop": y} for x, y in edges], []]
+        window, place = intersect(plan, t, p, span, slop)
+        for d, part in _by_document(spread, place):
+            pairs = sorted({(x, y) for k, y in zip(window[part].tolist(), (place[part] - spread[d]).tolist(), strict=True) for x in plan.items[k]})
+            found.setdefault(d, [[], [], []])[2] = [{"item": x, "place": y} for x, y in pairs]
+        for d, out in found.items():
+            yield rows[d], *out
 
     def run(batches):
         plan = _unpickled(sent.value)
-        gap = int(plan.lengths.max()) + slop + 1  # between two documents, so no window spans both
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_words = batch.column(2).to_numpy()
-            base = np.cumsum(n_words + gap) - n_words
-            terms = [np.frombuffer(x, "<i4") for x in batch.column(3).to_pylist()]
-            places = [np.frombuffer(x, "<i4").astype(np.int64) + b for x, b in zip(batch.column(4).to_pylist(), base.tolist(), strict=True)]
-            t, p = np.concatenate(terms).astype(np.int64), np.concatenate(places)
-            order = np.argsort(t, kind="stable")  # documents follow each other, so places ascend within a term
-            t, p, span = t[order], p[order], int(base[-1] + n_words[-1] + 2 * gap)
-            window, start = intersect(plan, t, p, span)
-            doc = np.searchsorted(base, start, "right") - 1
-            near_window, near_place = near(plan, t, p, span, rarest, slop)
-            near_n = np.bincount(np.searchsorted(base, near_place, "right") - 1, minlength=len(base)) if len(near_place) else np.zeros(len(base), np.int64)
-            found: dict[int, list[int]] = {}
-            for i, d in enumerate(doc.tolist()):
-                found.setdefault(d, []).append(i)
-            hits, items, spans = np.zeros(len(base), np.int64), [[] for _ in base], [[] for _ in base]
-            for d, at in found.items():
-                w = window[at]
-                items[d] = sorted({x for k in w.tolist() for x in plan.items[k]})
-                a = start[at] - base[d]
-                mark = np.zeros(int(n_words[d]) + 1, np.int64)
-                np.add.at(mark, a, 1)
-                np.add.at(mark, a + plan.lengths[w], -1)
-                inside = np.concatenate(([0], (np.cumsum(mark) > 0).astype(np.int8), [0]))
-                edges = np.flatnonzero(np.diff(inside))
-                spans[d] = [{"start": x, "stop": y} for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-                hits[d] = sum(y["stop"] - y["start"] for y in spans[d])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hits), pa.array(near_n, pa.int64()), pa.array(items, schema[5].type), pa.array(spans, schema[6].type)], schema=schema)
-
-    return index.mapInArrow(run, HITS)
-
-
-def _joined(ranges: list) -> list:
-    out: list = []
-    for x in sorted(ranges, key=lambda r: (r["start"], r["stop"])):
-        if out and x["start"] <= out[-1]["stop"]:
-            out[-1] = {"start": out[-1]["start"], "stop": max(out[-1]["stop"], x["stop"])}
-        else:
-            out.append({"start": x["start"], "stop": x["stop"]})
-    return out
+            for i in range(batch.num_rows):
+                rows, n_words, terms, counts, places = (c[i].as_py() for c in batch.columns)
+                out = list(zip(*matches(plan, rows, np.array(n_words, np.int64), terms, counts, places), strict=True)) or [()] * 4
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.list_(pa.string()), _SPANS, _NEAR), strict=True)], names=["row", "items", "spans", "near"])
+
+    return index.select("rows", "n_words", "terms", "counts", "places").mapInArrow(run, HITS)
+
+
+def _owner(base: np.ndarray, n_words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which document has each word number; those without words own none."""
+    own = np.flatnonzero(n_words > 0)
+    return own[np.searchsorted(base[own], places, "right") - 1]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: float = 0.05, most_bytes: int = 4 << 20) -> DataFrame:
+def _gathered(name: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share: float = 0.05, slop: int = 3, most_bytes: int = 4 << 20, index: DataFrame | None = None) -> DataFrame:
     """Words of whole ``docs`` (doc_id, text) inside windows of ``benchmark`` (item_id, text).
 
-    Returns a row for each input row: doc_id, row, n_words, n_hit, n_near, items, spans, n_items,
-    items_sha256, contaminated (n_hit > 0 and n_hit >= share * n_words). Null texts have no words; repeated
-    rows get a row each; an empty table gives no rows, an empty benchmark no hits; other columns are ignored.
+    Returns a row for each input row: doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and
+    n_hit >= share * n_words), n_near (places with a proximity match, see :func:`search`) and what they rest on:
+    items, spans (of each block of test items), near. Null texts have no words; repeated rows get a row each; an empty
+    table gives no rows, an empty benchmark no hits; other columns are ignored.
 
-    One block of test items (see :func:`windows_of`) is one index and one search; more blocks are united by row.
+    The index is built once (or given: :func:`build_index` of the same documents); each block of test items (see
+    :func:`windows_of`) is one search of it, and only matches are joined to the documents.
     """
-    blocks = windows_of(benchmark, length, most_bytes) or [TestSet({b"": 0}, [(0,)], [[]])]
-    parts = [search(staged(build_index(docs, tests.vocabulary), "index"), tests) for tests in blocks]
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-
-        @F.udf("array<struct<start:long,stop:long>>")
-        def joined(ranges):
-            return _joined(ranges)
-
-        both = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "row", "n_words").agg(F.sum("n_near").alias("n_near"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), joined(F.flatten(F.collect_list("spans"))).alias("spans"))
-        found = both.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.stop - x.start)"))
+    bounded_batches(docs.sparkSession)
+    index = build_index(docs) if index is None else index
+    parts = [staged(search(index, tests, slop), "matches") for tests in windows_of(benchmark, length, most_bytes)]
+    parts = parts or [docs.sparkSession.createDataFrame([], HITS)]
+    hits = functools.reduce(DataFrame.unionByName, parts).groupBy("row").agg(_gathered("items"), _gathered("spans"), _gathered("near"))
+    found = documents(index).join(hits, "row", "left").withColumns({c: F.coalesce(c, F.array().cast(dict(hits.dtypes)[c])) for c in ("items", "spans", "near")})
+    # spans of different blocks may overlap: each adds what is beyond all before it
+    n_hit = F.expr("aggregate(spans, named_struct('n', 0L, 'at', 0L), (a, x) -> named_struct('n', a.n + greatest(0L, x.stop - greatest(x.start, a.at)), 'at', greatest(a.at, x.stop)), a -> a.n)")
+    found = found.withColumns({"n_hit": n_hit, "n_near": F.size(F.array_distinct(F.transform("near", lambda x: x.place))).cast("long")})
     inverse = round(1 / share)
     return found.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": (F.col("n_hit") > 0) & (inverse * F.col("n_hit") >= F.col("n_words"))})

@@ -55,7 +55,7 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -93,7 +93,14 @@ ORACLE_SQL = {
         dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d JOIN sizes ON len(w) >= n)),
         hits AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, win)),
         hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
-        it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
-        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)""",
+        it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1),
+        dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+        wins AS (SELECT row_number() OVER () AS id, string_split(win, ' ') AS w FROM (SELECT DISTINCT win FROM bw)),
+        wt AS (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS k, len(w) AS n FROM wins),
+        rare AS (SELECT id, n, t, k, coalesce(c, 0) AS c FROM wt LEFT JOIN (SELECT t, count(*) AS c FROM dt GROUP BY t) USING (t) QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(c, 0), k) = 1),
+        found AS (SELECT a.id, x.doc_id, x.p, a.n FROM rare a JOIN dt x ON x.t = a.t JOIN wt o ON o.id = a.id JOIN dt y ON y.doc_id = x.doc_id AND y.t = o.t AND abs(y.p - (x.p - a.k + o.k)) <= 3
+            GROUP BY a.id, x.doc_id, x.p, a.n HAVING count(DISTINCT o.k) = a.n),
+        nr AS (SELECT doc_id, count(DISTINCT p) AS n_near FROM found GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)""",
 }

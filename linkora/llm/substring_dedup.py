@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_path, splitmix64, staged
+from .hashing import hashed_words
 
 SEGMENT = 1 << 19
 
@@ -93,24 +94,6 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the words ``[^\\x20\\x09-\\x0D]+`` of texts that begin at ``starts`` in ``data`` and follow each other."""
-    inside = ~_SPACES[data]
-    edge = np.zeros(len(data), bool)
-    edge[starts[starts < len(data)]] = True
-    first = inside & (edge | ~np.concatenate(([False], inside[:-1])))
-    first = np.flatnonzero(first)
-    if not len(first):
-        return first, np.zeros(0, np.uint64)
-    at = np.flatnonzero(inside)
-    bounds = np.searchsorted(at, first)
-    within = at - np.repeat(first, np.diff(np.append(bounds, len(at))))
-    values, _, _ = _tables(1, 0)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(within.max()), BASES[1], np.uint64))), dtype=np.uint64)
-        return first, splitmix64(np.add.reduceat(values[data[at]] * powers[within], bounds))
-
-
 class Strings:
     """Strings of ``length`` units, bytes or words, in texts ``ends[i-1]`` to ``ends[i]`` of ``data``; of ``texts`` alone."""
 
@@ -197,7 +180,7 @@ class Block:
     def __init__(self, row: dict, length: int, p: int, words: int, words_p: int, bits: int):
         data, lengths, skip = np.frombuffer(row["data"], np.uint8), np.array(row["lengths"], np.int64), set(row["skip"] or ())
         ends, texts, self.bits = np.cumsum(lengths), [i for i in range(len(lengths)) if i not in skip], bits
-        place, hashes = words_of(data, ends - lengths)
+        place, hashes = hashed_words(data, _SPACES, ends - lengths)
         self.n_words = np.diff(np.searchsorted(place, np.concatenate(([0], ends))))
         self.bytes = Strings(data, ends, texts, length, p)
         self.words = Strings(hashes, np.cumsum(self.n_words), texts, words, words_p)

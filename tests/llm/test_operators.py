@@ -516,13 +516,56 @@ def test_decontamination(spark, docs, empty):
     assert {r.n_hit for r in decontam.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def brute_near(docs, items, length=13, slop=3):
+    """Places of each document where a window's rarest word stands and all others are within ``slop`` of their places."""
+    split = [(d, decontam_words(t)) for d, t in docs]
+    counts = Counter(w for _, words in split for w in words)
+    windows = set()
+    for _, text in items:
+        w = decontam_words(text)
+        windows |= {tuple(w[i : i + length]) for i in range(max(1, len(w) - length + 1))} if w else set()
+    out = Counter()
+    for d, words in split:
+        at = defaultdict(set)
+        for i, w in enumerate(words):
+            at[w].add(i)
+        places = set()
+        for window in windows:
+            if all(w in at for w in window):
+                k0 = min(range(len(window)), key=lambda k: (counts[window[k]], k))
+                places |= {i for i in at[window[k0]] if all(any(i - k0 + k + e in at[w] for e in range(-slop, slop + 1)) for k, w in enumerate(window))}
+        out[d, len(places)] += 1
+    return out
+
+
+def decontam_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
 def test_proximity(spark):
-    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string")
-    data = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen"), (2, "one two three four five six seven x eight nine ten eleven twelve thirteen"), (3, "one two")]
-    found = {r.doc_id: (r.n_hit, r.n_near) for r in decontam.contamination(spark.createDataFrame(data, "doc_id long, text string"), bench).collect()}
-    assert found[1][0] == 13 and found[1][1] >= 1
-    assert found[2][0] == 0 and found[2][1] >= 1
-    assert found[3] == (0, 0)
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    items = [(1, line), (2, "two words"), (3, line + " fourteen one"), (4, "alone"), (5, None)]
+    data = [(1, line), (2, line.replace("seven", "seven x")), (3, "one two"), (4, "words two and two of words"), (5, line + " and " + line.replace("ten", "ten a b c d")), (6, None), (6, ""), (7, "thirteen " + line), (None, "alone ... Alone")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    index = decontam.build_index(docs)
+    for most in (4 << 20, 1):
+        found = decontam.contamination(docs, bench, most_bytes=most, index=index).collect()
+        assert Counter((r.doc_id, r.n_near) for r in found) == brute_near(data, items)
+        by_id = {r.doc_id: r for r in found}
+        assert [(x.start, x.stop) for x in by_id[1].spans][:1] == [(0, 13)] and by_id[2].n_hit == 0 and {x.item for x in by_id[2].near} == {"1", "3"}
+        assert by_id[None].items == ["4"] and [x.place for x in by_id[None].near] == [0, 1]
+
+
+def test_one_index_serves_several_test_sets(spark, docs):
+    index = decontam.build_index(docs)
+    assert decontam.documents(index).count() == len(rows())
+    text = dict(rows())
+    for items in ([(1, text[5])], [(2, text[43][30:400]), (3, "beta7 the9")], []):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        found = decontam.contamination(docs, bench, index=index)
+        wanted = brute_contamination(rows(), items)
+        assert Counter((r.doc_id, r.n_hit, r.items_sha256) for r in found.collect()) == Counter((w[0], w[2], w[4]) for w in wanted)
+        assert Counter((r.doc_id, r.n_near) for r in found.collect()) == brute_near(rows(), items)
 
 
 def test_words_in_step_agree_with_the_automaton():
