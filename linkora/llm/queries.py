@@ -31,7 +31,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.new_index(spark, rows=docs.count())
+    found = exact_dedup.deduplicate(docs, index)
+    index.close()
+    return found
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
