@@ -1,12 +1,16 @@
-"""Language ID by cross-parsing: longest matches in a suffix automaton of each language's labelled text."""
+"""Language ID by cross-parsing: longest matches in a suffix automaton of each language's labelled text.
+
+A text is cut greedily into phrases, each the longest string that occurs in a language's training text; the
+language that needs the fewest, each weighed by the bits that point into its training text, wins. Phrases
+run over whole texts and do not mind where words end. Texts are parsed as UTF-8 bytes, so transition tables stay
+small for any script, and all blocks of a batch of texts are parsed in step.
+"""
 
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import pickle
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,21 +22,24 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from .common import bounded_batches
 
 UNDETERMINED = "und"
+#: Phrases end where a block of so many bytes of a text ends.
+BLOCK = 2048
+MARKS = range(0x300, 0x370)
 
 
 class SuffixAutomaton:
-    """The smallest automaton of all substrings of the added words. ``next[state]``: character -> state."""
+    """The smallest automaton of all substrings of the added texts. ``next[state]``: character (or byte) -> state."""
 
     def __init__(self):
         self.next: list[dict[str, int]] = [{}]
         self._link, self._length = [-1], [0]
 
-    def add(self, word: str) -> None:
+    def add(self, text: str | bytes) -> None:
         last = 0
-        for c in word:
+        for c in text:
             last = self._extend(last, c)
 
-    def _extend(self, last: int, c: str) -> int:
+    def _extend(self, last: int, c: str | int) -> int:
         nxt, link, length = self.next, self._link, self._length
 
         def divided(p: int, q: int) -> int:
@@ -60,7 +67,7 @@ class SuffixAutomaton:
             link[new] = q if length[q] == length[p] + 1 else divided(p, q)
         return new
 
-    def phrases(self, text: str) -> int:
+    def phrases(self, text: str | bytes) -> int:
         """Phrases of the greedy cross-parsing: longest matches, and each character without one."""
         nxt, count, state = self.next, 0, 0
         for c in text:
@@ -74,21 +81,46 @@ class SuffixAutomaton:
         return count + (state != 0)
 
 
-def words_of(chunk: str) -> list[str]:
-    """Runs of letters (and marks within them) of a chunk without spaces, in lower case."""
-    chunk = chunk.lower()
-    if chunk.isalpha():
-        return [chunk]
-    return "".join(c if c.isalpha() or "̀" <= c <= "ͯ" else " " for c in chunk).split()
+@functools.lru_cache(1)
+def _kinds() -> np.ndarray:
+    """For each code point: 2 for a letter, 1 for a combining mark, which belongs to a word but is no letter, else 0."""
+    kinds = np.fromiter((2 * chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+    kinds[MARKS.start : MARKS.stop] = 1
+    return kinds
+
+
+def normalised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts of the texts in them, letters of each text): lower case, each run of other characters one space, a space in front.
+
+    Null is empty. The bytes are UTF-8.
+    """
+    texts = ["\n" + (t or "").lower() for t in texts]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    kinds = _kinds()[points]
+    letters = np.concatenate(([0], np.cumsum(kinds == 2)))[np.concatenate(([0], ends))]
+    inside = kinds > 0
+    first = np.zeros(len(points), bool)
+    first[ends[:-1]] = True
+    first[:1] = True
+    keep = inside | first
+    keep[1:] |= inside[:-1]  # the first of a run of others, which the space in front is already
+    kept = np.where(inside, points, 32)
+    kept[first] = 10  # no other character is a line feed now
+    data = np.frombuffer(kept[keep].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8).copy()
+    starts = np.flatnonzero(data == 10)
+    data[starts] = 32
+    return data, starts, np.diff(letters)
 
 
 @dataclass
 class Language:
+    """A language's automaton as edges: from a state, over a byte, to a state."""
+
     name: str
-    automaton: SuffixAutomaton
     weight: float  # bits that point at a phrase: log2 of the training text's length
-    seen: dict[str, int]  # training words -> count, for ties
-    total: int  # of those counts
+    states: int
+    edges: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass
@@ -96,176 +128,152 @@ class LanguageModel:
     languages: list[Language]
 
 
+def learned(name: str, texts: list[str]) -> Language | None:
+    """A language from its training texts; None without letters in them."""
+    data, starts, letters = normalised(texts)
+    if not letters.sum():
+        return None
+    automaton, whole = SuffixAutomaton(), data.tobytes()
+    for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(whole)], strict=True):
+        automaton.add(whole[a:b])
+    edges = [(state, c, to) for state, out in enumerate(automaton.next) for c, to in out.items()]
+    state, c, to = zip(*edges, strict=True)
+    return Language(name, math.log2(2 + len(whole)), len(automaton.next), (np.array(state, np.int32), np.array(c, np.uint8), np.array(to, np.int32)))
+
+
 def bucket_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, rows_per_language: int = 300, chars_per_language: int = 400_000, words_per_language: int = 12_000) -> LanguageModel:
-    """Suffix automata of labelled text, from rows that are not held out.
+def sample(docs: DataFrame, rows_per_language: int = 240, chars_per_row: int = 400) -> dict[str, list[str]]:
+    """Training texts of each language, from rows with a language and a text that are not held out.
 
-    The sample is bounded: for each language at most ``rows_per_language`` rows, those with the smallest hash
-    of their id, texts of over ``chars_per_language / 10`` characters not among them; of its words, the
-    ``words_per_language`` most frequent ones. The languages' counts set how small a hash must be for a row to
-    be shuffled at all, so that about four times the rows wanted are ranked, whatever the input's size.
+    The sample is bounded: for each language the ``rows_per_language`` rows with the smallest hash of their id, and of each
+    a run of at most ``chars_per_row`` characters from a place drawn by that hash. The languages' counts of such
+    rows set how small a hash must be for a row to be shuffled at all, so that about four times the rows wanted are
+    ranked, whatever the input's size.
     """
     top = 1 << 30
-    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(top))
-    counts_of = docs.filter(F.col("lang").isNotNull() & (bucket_of(F.col("doc_id")) != 0)).groupBy(F.col("lang").cast("string").alias("lang")).count()
-    most = {r.lang: min(top, 4 * rows_per_language * top // r["count"]) for r in counts_of.collect()}  # a number for each language
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id")) != 0) & (F.length("text") <= chars_per_language // 10)).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & (bucket_of(F.col("doc_id")) != 0)).select(
+        F.col("lang").cast("string").alias("lang"), "doc_id", text.alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(top)).alias("share"))
+    most = {r.lang: min(top, 4 * rows_per_language * top // r["count"]) for r in rows.groupBy("lang").count().collect()}  # a number for each language
     if not most:
-        return LanguageModel([])
+        return {}
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in most.items() for x in pair]), F.col("lang"))
-    labelled = labelled.withColumn("share", share).filter(F.col("share") < limit)
+    at = F.pmod(F.xxhash64("share", F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars_per_row + 1)).cast("int") + 1
+    drawn = rows.filter(F.col("share") < limit).select("lang", "doc_id", "share", F.substring(F.col("text"), at, F.lit(chars_per_row)).alias("text"))
     by_hash = Window.partitionBy("lang").orderBy("share", "doc_id", "text")
-    chosen = labelled.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= rows_per_language)
-    counts: dict[str, Counter] = {}
+    chosen = drawn.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= rows_per_language)
+    found: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "n").toLocalIterator():
-        counts.setdefault(row.lang, Counter()).update(w for chunk in row.text.split() for w in words_of(chunk))
-    languages = []
-    for name in sorted(counts):
-        words = sorted(counts[name].items(), key=lambda x: (-x[1], x[0]))[:words_per_language]
-        if not words:
-            continue
-        automaton = SuffixAutomaton()
-        for word, _ in words:
-            automaton.add(f" {word[:64]} ")
-        languages.append(Language(name, automaton, math.log2(2 + sum(len(w) + 1 for w, _ in words)), dict(words), sum(n for _, n in words)))
-    return LanguageModel(languages)
-
-
-class _Dense:
-    """The automata as transition tables over numbered characters, to parse many words in step."""
+        found.setdefault(row.lang, []).append(row.text)
+    return found
 
-    def __init__(self, model: LanguageModel):
-        chars = sorted({c for x in model.languages for edges in x.automaton.next for c in edges})
-        self.number = {c: i + 1 for i, c in enumerate(chars)}  # 0: no language has it
-        self.width = len(chars) + 1
-        self.tables = []
-        for x in model.languages:
-            table = np.zeros((len(x.automaton.next), self.width), np.int32)  # 0, the root, is no edge's end
-            for state, edges in enumerate(x.automaton.next):
-                for c, to in edges.items():
-                    table[state, self.number[c]] = to
-            self.tables.append(table)
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """:meth:`SuffixAutomaton.phrases` of " word " for each word and language."""
-        number, space = self.number.get, self.number.get(" ", 0)
-        codes = [[space, *map(number, w, itertools.repeat(0)), space] for w in words]
-        lengths = np.fromiter(map(len, codes), np.int64, len(codes))
-        order = np.argsort(-lengths, kind="stable")  # so that those still being parsed come first
-        symbols = np.zeros((len(codes), int(lengths.max())), np.int32)
-        for row, i in enumerate(order.tolist()):
-            symbols[row, : lengths[i]] = codes[i]
-        active = np.searchsorted(-lengths[order], -np.arange(1, symbols.shape[1] + 1), "right")
-        out = np.zeros((len(codes), len(self.tables)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.int64)
-            for at, n in enumerate(active.tolist()):
-                c, here = symbols[:n, at], state[:n]
-                to = table[here, c]
-                ended = to == 0
-                again = table[0, c]
-                count[:n] += ended & (here != 0)
-                count[:n] += ended & (again == 0)
-                state[:n] = np.where(ended, again, to)
-            out[order, k] = count + (state != 0)
-        return out
 
+def train(docs: DataFrame, rows_per_language: int = 240, chars_per_row: int = 400) -> LanguageModel:
+    """A suffix automaton of each language's training text, bounded as :func:`sample` says."""
+    found = sample(docs, rows_per_language, chars_per_row)
+    return LanguageModel([x for name in sorted(found) if (x := learned(name, found[name]))])
 
-class _Memo(dict):
-    """Chunk -> its row in ``costs``: the letters, then each language's cost in bits. Rows of new chunks are filled for a batch at once."""
-
-    STEP, LONG, CHARS = 4096, 200, 500
-
-    def __init__(self, model: LanguageModel, limit: int = 300_000):
-        self.model, self.limit = model, limit
-        chars = {c for x in model.languages for edges in x.automaton.next for c in edges}
-        self.dense = _Dense(model) if len(chars) <= self.CHARS else None  # a script of many characters would make the tables large
-        self.costs, self.new = np.zeros((0, 1 + len(model.languages))), []
-
-    def __missing__(self, chunk: str) -> int:
-        row = self[chunk] = len(self)
-        self.new.append(chunk)
-        return row
-
-    def rows(self, text: str) -> np.ndarray:
-        chunks = text.split()
-        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-
-    def fill(self) -> None:
-        """Costs of the chunks seen since the last call."""
-        words = [words_of(chunk) for chunk in self.new]
-        rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        flat = [w for ws in words for w in ws]
-        cost = np.zeros((len(flat), 1 + len(self.model.languages)))
-        cost[:, 0] = list(map(len, flat))
-        short = [i for i, w in enumerate(flat) if len(w) <= self.LONG] if self.dense else []
-        for at in range(0, len(short), self.STEP):
-            some = short[at : at + self.STEP]
-            cost[some, 1:] = self.dense.phrases([flat[i] for i in some])
-        for i in sorted(set(range(len(flat))) - set(short)):
-            cost[i, 1:] = [x.automaton.phrases(f" {flat[i]} ") for x in self.model.languages]
-        for k, x in enumerate(self.model.languages):
-            base = math.log2(x.total + len(x.seen) + 1)
-            rarity = base - np.log2(np.fromiter(map(x.seen.get, flat, itertools.repeat(0)), np.float64, len(flat)) + 0.5)
-            cost[:, 1 + k] = cost[:, 1 + k] * x.weight + rarity / 10
-        filled = np.zeros((len(words), cost.shape[1]))
-        np.add.at(filled, rows, cost)
-        self.costs = np.concatenate([self.costs, filled])
-        self.new = []
-
-    def totals(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Letters and costs of whole texts."""
-        if len(self) > self.limit:
-            self.clear()
-            self.costs = self.costs[:0]
-        rows = [self.rows(t or "") for t in texts]
-        self.fill()
-        return [self.costs[r].sum(axis=0) for r in rows]
 
+class Parser:
+    """The automata of a model as one transition table over the bytes that any of them has."""
 
-@functools.lru_cache(1)
-def memo_of(pickled: bytes) -> _Memo:
-    """One memo for each model and worker process."""
-    return _Memo(pickle.loads(pickled))
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        used = np.unique(np.concatenate([x.edges[1] for x in model.languages] or [np.zeros(0, np.uint8)]))
+        self.code = np.zeros(256, np.int32)  # 0: no language has the byte
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        # the languages' states follow each other, and an edge is stored as where its end's row begins; 0 is no edge
+        self.roots = np.cumsum([0] + [x.states for x in model.languages])[:-1] * self.width
+        self.table = np.zeros(sum(x.states for x in model.languages) * self.width, np.int32)
+        for root, x in zip(self.roots.tolist(), model.languages, strict=True):
+            state, c, to = x.edges
+            self.table[root + state * self.width + self.code[c]] = root + to * self.width
+
+    def phrases(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Phrases of each text (row) in each language: longest matches, and each byte without one."""
+        sizes = np.diff(np.append(starts, len(data)))
+        blocks = -(-sizes // BLOCK)
+        text = np.repeat(np.arange(len(starts)), blocks)
+        lengths = np.minimum(BLOCK, np.repeat(sizes, blocks) - BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)))
+        out = np.zeros((len(starts), len(self.roots)), np.int64)
+        if not len(text) or not len(self.roots):
+            return out
+        order = np.argsort(-lengths, kind="stable")  # so that those still being parsed come first
+        begin = np.cumsum(lengths) - lengths
+        steps = np.arange(int(lengths.max()))[:, None]
+        symbols = self.code[np.append(data, np.zeros(BLOCK, np.uint8))][begin[order][None, :] + steps].astype(np.uint8)
+        active = np.searchsorted(-lengths[order], -np.arange(1, len(steps) + 1), "right")
+        n, roots = len(text), self.roots.astype(np.int32)[:, None]
+        state, count = np.repeat(roots, n, axis=1), np.zeros((len(roots), n), np.int32)
+        for at, k in enumerate(active.tolist()):
+            if k < n:  # drop the columns that have ended
+                state_done, count_done = state[:, k:n], count[:, k:n]
+                out_rows = text[order[k:n]]
+                np.add.at(out, out_rows, (count_done + (state_done != roots)).T)
+                state, count, n = state[:, :k], count[:, :k], k
+            c = symbols[at, :k].astype(np.int32)
+            to = self.table[state + c]
+            again = self.table[roots + c]
+            ended, none = to == 0, again == 0
+            count += ended & (state != roots)
+            count += ended & none
+            state = np.where(ended, np.where(none, roots, again), to)
+        np.add.at(out, text[order[:n]], (count + (state != roots)).T)
+        return out
 
+    def decide(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text: the fewest phrases, weighed by the bits that point at one; ties go by name.
+
+        The score is 1 less the ratio of the best to the next, 1 with one language only, 0 after a tie.
+        """
+        data, starts, letters = normalised(texts)
+        costs = self.phrases(data, starts) * np.array([x.weight for x in self.model.languages])
+        out = []
+        for cost, n in zip(costs.tolist(), letters.tolist(), strict=True):
+            if not n or not cost:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            best = min(range(len(cost)), key=cost.__getitem__)  # languages are in order of name
+            others = cost[:best] + cost[best + 1 :]
+            out.append((self.model.languages[best].name, 1 - cost[best] / min(others) if others else 1.0))
+        return out
 
-def decide(model: LanguageModel, totals: np.ndarray) -> tuple[str, float]:
-    """(language, score): the fewest phrases, weighted by the bits that point at one.
 
-    A tenth of the words' rarity (bits of their training frequency) decides where phrases are near a tie, as
-    with a word or two that several languages have; what is left of ties goes by name.
-    The score is 1 less the ratio of the best to the next, 1 with one language only, 0 after a tie.
-    """
-    if not totals[0] or not model.languages:
-        return UNDETERMINED, 0.0
-    ranked = sorted(zip(totals[1:].tolist(), (x.name for x in model.languages), strict=True))
-    if len(ranked) == 1:
-        return ranked[0][1], 1.0
-    (best, name), (second, _) = ranked[:2]
-    return name, 1 - best / second
+@functools.lru_cache(1)
+def parser_of(pickled: bytes) -> Parser:
+    """One parser for each model and worker process."""
+    return Parser(pickle.loads(pickled))
 
 
-def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score"), chars: int = 4 << 20) -> DataFrame:
     """``docs`` with the language and the score added at the end as ``names``, from whole texts alone.
 
     ``und`` with score 0 where text is null or has no letters, or where nothing was learned. Each row is
     judged by itself: repeated rows agree, an empty table gives no rows, other columns are kept (columns of
-    these two names are replaced; choose other names to keep them).
+    these two names are replaced; choose other names to keep them). Texts are parsed in runs of ``chars`` characters, a longer one by itself.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.drop(*names)
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))  # bounded by train()'s parameters and the number of languages
+    sent = spark.sparkContext.broadcast(pickle.dumps(model))  # bounded by sample()'s parameters and the number of languages
     at = docs.columns.index("text")
 
     def run(batches):
-        memo = memo_of(sent.value)
+        parser = parser_of(sent.value)
         for batch in batches:
-            out = [decide(memo.model, x) for x in memo.totals(batch.column(at).to_pylist())]
+            out, held, size = [], [], 0
+            for text in batch.column(at).to_pylist():
+                held.append(text)
+                size += len(text or "")
+                if size >= chars:
+                    out += parser.decide(held)
+                    held, size = [], 0
+            out += parser.decide(held) if held else []
             columns = [*batch.columns, pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 

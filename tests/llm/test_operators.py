@@ -143,11 +143,63 @@ def test_suffix_automaton_holds_all_substrings_and_no_other():
         for s in map("".join, itertools.product("abcd", repeat=n)):
             assert accepted(s) == (s in inside), s
     for text in ("abcab", "ddab", "", "bcbcab", "zz"):
-        count, at = 0, 0
-        while at < len(text):
-            n = max((n for n in range(1, len(text) - at + 1) if text[at : at + n] in inside), default=1)
-            count, at = count + 1, at + n
-        assert automaton.phrases(text) == count, text
+        assert automaton.phrases(text) == brute_phrases(text, words), text
+
+
+def brute_phrases(text, training):
+    count, at = 0, 0
+    while at < len(text):
+        n = max((n for n in range(1, len(text) - at + 1) if any(text[at : at + n] in t for t in training)), default=1)
+        count, at = count + 1, at + n
+    return count
+
+
+def brute_normalised(text):
+    out = " "
+    for c in (text or "").lower():
+        out += c if c.isalpha() or 0x300 <= ord(c) <= 0x36F else " " if out[-1] != " " else ""
+    return out.encode(), sum(c.isalpha() for c in (text or "").lower())
+
+
+LANGUAGE_TEXTS = [t for _, t in rows()] + ["\u0301", "e\u0301t\u00e9", "İstanbul ẞ", "\n\n a\nb\n", "123 !!", " x", "x ", "日本 語", "a" * 5000 + " b", "", None]
+
+
+def test_texts_are_normalised():
+    data, starts, letters = langid.normalised(LANGUAGE_TEXTS)
+    found = [data[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert list(zip(found, letters.tolist(), strict=True)) == [brute_normalised(t) for t in LANGUAGE_TEXTS]
+    assert langid.normalised([])[0].tolist() == []
+
+
+def test_cross_parsing_and_its_decision(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    training = {"a": [prose(1, 40), "the end"], "b": ["Übung macht den Meister, sagt man", prose(3, 30)[::-1]], "c": ["日本語のテキスト", "42"], "d": ["12 34"]}
+    model = langid.LanguageModel([x for name in training if (x := langid.learned(name, training[name]))])
+    assert [x.name for x in model.languages] == ["a", "b", "c"]
+    parser = langid.Parser(model)
+    held = {x.name: [brute_normalised(t)[0] for t in training[x.name]] for x in model.languages}
+    texts = [t if t is None else t[:700] for t in LANGUAGE_TEXTS]
+    data, starts, _ = langid.normalised(texts)
+    found, wanted = parser.phrases(data, starts).tolist(), []
+    for text in texts:
+        whole = brute_normalised(text)[0]
+        wanted.append([sum(brute_phrases(whole[i : i + 64], held[x.name]) for i in range(0, len(whole), 64)) for x in model.languages])
+    assert found == wanted
+    for text, counts, (name, score) in zip(texts, wanted, parser.decide(texts), strict=True):
+        cost = sorted((n * np.log2(2 + sum(map(len, held[x.name]))), x.name) for n, x in zip(counts, model.languages, strict=True))
+        if brute_normalised(text)[1]:
+            assert name == cost[0][1] and abs(score - (1 - cost[0][0] / cost[1][0])) < 1e-12
+        else:
+            assert (name, score) == ("und", 0.0)
+
+
+def test_the_language_sample_is_bounded_and_held_out_rows_are_not_in_it(spark):
+    data = [(i, f"{'a' if i % 3 else 'b'}{i} " * (1 if i % 2 else 3000), "x" if i % 3 else "y") for i in range(400)] + [(1000, None, "x"), (1001, "", "x"), (1002, "only", None), (1003, None, "none")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = langid.sample(docs, rows_per_language=20, chars_per_row=50)
+    assert {k: len(v) for k, v in found.items()} == {"x": 20, "y": 20} and all(len(t) <= 50 for v in found.values() for t in v)
+    out = {t for i, t, _ in data if t and zlib.crc32(str(i).encode()) % 5 == 0}
+    assert not any(t in o for v in found.values() for t in v for o in out)
 
 
 def test_language_id(spark, sf_dir, empty):
@@ -161,9 +213,9 @@ def test_language_id(spark, sf_dir, empty):
     assert (held.lang == held.lang_pred).mean() > 0.97
     assert found.score.between(0, 1).all()
     model = langid.train(docs)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the and with from"), (None, "é")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the and with from"), (5, "\u0301"), (None, "é")], "doc_id long, text string")
     by_id = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
-    assert by_id[1] == by_id[2] == by_id[3] == ("und", 0.0)
+    assert by_id[1] == by_id[2] == by_id[3] == by_id[5] == ("und", 0.0)
     assert by_id[4][0] == "en" and by_id[None][0] != "und"
     untrained = langid.train(empty)
     assert {r.lang_pred for r in langid.predict(odd, untrained).collect()} == {"und"}
@@ -271,19 +323,33 @@ def test_exact_dedup_in_batches(spark, docs, empty, tmp_path):
         kept[r.text_sha256] += r.kept
     assert set(kept.values()) == {1} and len(kept) == len(groups) and len(found) == len(rows())
     assert index.rows().count() == len(groups)
-    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
-    later = spark.createDataFrame([(-5, rows()[4][1]), (900, "quite new"), (899, "quite  new")], "doc_id long, text string")
+    index.close()
+    again = exact_dedup.DigestIndex(spark.newSession(), f"file://{tmp_path}/index")
+    assert again.buckets == 4
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=16)
+    later = again.spark.createDataFrame([(-5, rows()[4][1]), (900, "quite new"), (899, "quite  new")], "doc_id long, text string")
     second = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(later, again).collect()}
     assert second == {-5: (4, False), 900: (899, False), 899: (899, True)}
     assert again.rows().count() == len(groups) + 1
+    before = sorted(map(tuple, again.rows().collect()), key=key)
+    again.ROWS = 10
+    again.compact()
+    assert again.buckets > 4 and sorted(map(tuple, again.rows().collect()), key=key) == before
+    third = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    assert third.buckets == again.buckets
+    whole = exact_dedup.deduplicate(docs.unionByName(docs.limit(3)), third).collect()
+    assert not any(r.kept for r in whole) and {r.text_sha256: r.keep_id for r in whole} == {r.text_sha256: r.keep_id for r in found}
     assert exact_dedup.deduplicate(empty, exact_dedup.new_index(spark)).count() == 0
 
 
 def test_the_index_is_read_without_a_shuffle(spark, docs, tmp_path):
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
     exact_dedup.deduplicate(docs, index)
-    plan = index.unknown(spark.createDataFrame([("a", 1)], "digest string, keep_id long"))._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    dealt = index.dealt(spark.createDataFrame([("a", 1)], "digest string, first long"))
+    for found in (index.unknown(dealt), index.known(dealt)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 # --- sharding
@@ -566,27 +632,3 @@ def test_one_index_serves_several_test_sets(spark, docs):
         wanted = brute_contamination(rows(), items)
         assert Counter((r.doc_id, r.n_hit, r.items_sha256) for r in found.collect()) == Counter((w[0], w[2], w[4]) for w in wanted)
         assert Counter((r.doc_id, r.n_near) for r in found.collect()) == brute_near(rows(), items)
-
-
-def test_words_in_step_agree_with_the_automaton():
-    languages = []
-    for name, words in (("a", ["abcbc", "bcab", "über"]), ("b", ["ccb", "xyz"])):
-        automaton = langid.SuffixAutomaton()
-        for w in words:
-            automaton.add(f" {w} ")
-        languages.append(langid.Language(name, automaton, 5.0, dict.fromkeys(words, 1), len(words)))
-    dense = langid._Dense(langid.LanguageModel(languages))
-    r = random.Random(1)
-    words = ["".join(r.choice("abcxyzüber日") for _ in range(r.randrange(1, 14))) for _ in range(300)]
-    wanted = [[x.automaton.phrases(f" {w} ") for x in languages] for w in words]
-    assert dense.phrases(words).tolist() == wanted
-
-
-def test_a_script_of_many_characters_needs_no_tables(monkeypatch):
-    automaton = langid.SuffixAutomaton()
-    automaton.add(" abc ")
-    model = langid.LanguageModel([langid.Language("a", automaton, 5.0, {"abc": 1}, 1)])
-    texts = ["abc cab, x", "", None, "a" * 300]
-    dense = langid._Memo(model).totals(texts)
-    monkeypatch.setattr(langid._Memo, "CHARS", 0)
-    assert [x.tolist() for x in langid._Memo(model).totals(texts)] == [x.tolist() for x in dense]
