@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def splitters(keys: DataFrame, ranges: int, total: int, per_range: int = 16) -> list[tuple[int, int]]:
-    """At most ``ranges - 1`` quantile boundaries of (h, h2), from about ``ranges * per_range`` keys drawn with weight ``size``.
+def splitters(keys: DataFrame, ranges: int, total: int, largest: float, per_range: int = 16) -> tuple[list[tuple[int, int]], list[int]]:
+    """(at most ``ranges - 1`` quantile boundaries of (h, h2), the hashes of over ``largest`` in all that they may divide).
 
-    A key is drawn if ``-ln(u) / size`` is below a threshold, u being a hash of the key and ``total`` the sum of
-    sizes: each task decides alone, and the driver gets about that many keys whatever the input's size. A
-    boundary whose hash is drawn for one boundary alone moves ahead of that hash's rows; a hash that fills
-    whole ranges keeps its inner boundaries, which subdivide it.
+    About ``ranges * per_range`` keys are drawn with weight ``size``: a key is drawn if ``-ln(u) / size`` is below a
+    threshold, u being a hash of the key and ``total`` the sum of sizes, so each task decides alone, and the
+    driver gets about that many keys whatever the input's size. A hash drawn for several boundaries keeps the
+    inner ones, which subdivide it, only if its exact size is over ``largest``; else, and where it is drawn
+    for one, the boundary moves ahead of that hash's rows.
     """
     u = (F.pmod(F.xxhash64("h", "h2", F.lit(7)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     drawn = sorted((r.h, r.h2) for r in keys.filter(-F.log(u) / F.col("size") < ranges * per_range / max(1, total)).select("h", "h2").collect())
@@ -24,8 +25,11 @@ def splitters(keys: DataFrame, ranges: int, total: int, per_range: int = 16) ->
     of_hash: dict[int, int] = {}
     for h, _ in chosen:
         of_hash[h] = of_hash.get(h, 0) + 1
+    several = [(h,) for h, n in of_hash.items() if n > 1]  # at most half as many as ranges
+    exact = keys.join(F.broadcast(keys.sparkSession.createDataFrame(several, "h long")), "h").groupBy("h").agg(F.sum("size").alias("size")).collect() if several else []
+    divided = {r.h for r in exact if r["size"] > largest}
     low = -(1 << 63)
-    return sorted({(h, h2 if of_hash[h] > 1 else low) for h, h2 in chosen})
+    return sorted({(h, h2 if h in divided else low) for h, h2 in chosen}), sorted(divided)
 
 
 def range_of(h: np.ndarray, h2: np.ndarray, at: list[tuple[int, int]]) -> np.ndarray:
@@ -44,9 +48,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 100_
 
     Size is the text's UTF-8 bytes (null: none) plus 1. Returns doc_id, size, text_crc32, law (``bytes``),
     shard, slot (gapless from 0 in each shard), grown_shard (null under this law). Rows are ordered by the
-    hash of their text, then by that of their id, so equal texts stand together; a group of equal texts of at
-    most ``together`` of a shard stays in one shard, a larger one is divided. Null and repeated ids and
-    rows are placed like others; an empty table gives no rows; other columns are ignored.
+    hash of their text, then by that of their id, so equal texts stand together. A group of equal texts stays in
+    one shard unless that alone could move a shard's size by more than the law's tolerance: sizes are near equal if
+    they differ by a few times ``together`` of a shard, so a group larger than that is divided row by row. Null and
+    repeated ids and rows are placed like others; an empty table gives no rows; other columns are ignored.
 
     Exact sizes of the ranges set where each begins, so no task orders more than about one range, of
     ``rows_per_range`` rows of numbers or, beyond ``most_ranges`` ranges, more.
@@ -59,13 +64,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 100_
     rows = staged(rows.withColumn("h2", F.xxhash64("doc_id", "row")), "sizes")
     n_rows, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(8 * shards, min(most_ranges, -(-n_rows // rows_per_range)))
-    at = splitters(rows, ranges, size)
+    largest = together * size / shards
+    at, divided = splitters(rows, ranges, size, largest)
 
     @F.pandas_udf("int")
     def place(h: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(range_of(h.to_numpy(), h2.to_numpy(), at).astype(np.int32))
 
-    rows = staged(rows.withColumn("part", place("h", "h2")), "ranged")
+    @F.pandas_udf("boolean")
+    def over_ranges(h: pd.Series) -> pd.Series:
+        return pd.Series(np.isin(h.to_numpy(), divided))
+
+    rows = staged(rows.withColumns({"part": place("h", "h2"), "over": over_ranges("h")}), "ranged")
     parts = sorted(rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
     starts, bytes_, count = [], 0, 0
     for part in parts:
@@ -81,7 +91,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, rows_per_range: int = 100_
         .withColumn("group_bytes", F.sum("size").over(group))
         .withColumn("group_ahead", F.min("ahead").over(group))
         .join(offsets, "part")
-        .withColumn("stays", F.col("group_bytes") <= together * total / shards)
+        .withColumn("stays", ~F.col("over") & (F.col("group_bytes") <= largest))
         # a group's middle, or a row's own, decides
         .withColumn("middle", F.col("bytes_before") + F.when(F.col("stays"), F.col("group_ahead") + F.col("group_bytes") / 2).otherwise(F.col("ahead") + F.col("size") / 2))
         .select("doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("rank")).alias("place"), F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / total)).cast("int").alias("shard"))
