@@ -166,11 +166,12 @@ def _sub_keys(anchor: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(keys).view(np.int64), np.tile(fps, 4)
 
 
-def near_links(classes: DataFrame, bits: int = 3, heavy: int = 50_000) -> DataFrame:
+def near_links(classes: DataFrame, bits: int = 3, heavy: int = 50_000, per_task: int = 20_000_000, at_once: int = 500_000) -> DataFrame:
     """(a, b) links among distinct fingerprints (column fp) that connect all within ``bits`` (at most 3) bits.
 
     An anchor of over ``heavy`` fingerprints is divided by the fingerprints' 16-bit blocks before it is compared,
-    so that it is spread over tasks; with at most 3 bits apart one of four blocks agrees.
+    so that it is spread over tasks; with at most 3 bits apart one of four blocks agrees. A task gets about ``per_task``
+    rows of 16 bytes, sorted by anchor, and holds ``at_once`` of them or the rows of one anchor.
     """
     if not 0 <= bits <= 3:
         raise ValueError("the covering holds for up to 3 bits")
@@ -188,19 +189,34 @@ def near_links(classes: DataFrame, bits: int = 3, heavy: int = 50_000) -> DataFr
             yield pa.record_batch([pa.array(keys), pa.array(fps.view(np.int64))], names=["anchor", "fp"])
 
     def compare(batches):
-        keys, fps = [], []
+        # rows come sorted by anchor: whole anchors are compared, the last one waits for more rows
+        keys, fps, n = [], [], 0
+
+        def links(key, fp):
+            found = np.array(forest(compare_per_anchor(key, fp, bits)), dtype=np.uint64).reshape(-1, 2)
+            return pa.record_batch([pa.array(found[:, i].copy().view(np.int64)) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             keys.append(batch.column(0).to_numpy())
             fps.append(batch.column(1).to_numpy().view(np.uint64))
-        if keys:
-            found = np.array(forest(compare_per_anchor(np.concatenate(keys), np.concatenate(fps), bits)), dtype=np.uint64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64))], names=["a", "b"])
+            n += len(keys[-1])
+            if n >= at_once:
+                key, fp = np.concatenate(keys), np.concatenate(fps)
+                whole = int(np.searchsorted(key, key[-1]))
+                if whole:
+                    yield links(key[:whole], fp[:whole])
+                keys, fps, n = [key[whole:]], [fp[whole:]], len(key) - whole
+        if n:
+            yield links(np.concatenate(keys), np.concatenate(fps))
+
+    n_classes, spark = classes.count(), classes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-34 * n_classes // per_task))
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.repartition("anchor").mapInArrow(compare, "a long, b long")
+        return rows.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
     spread = classes.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    if classes.count() <= heavy:  # no anchor can hold more
+    if n_classes <= heavy:  # no anchor can hold more
         return compared(spread)
     many = staged(spread.groupBy("anchor").count().filter(F.col("count") > heavy).select("anchor"), "heavy-anchors")
     if many.isEmpty():

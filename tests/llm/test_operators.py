@@ -374,6 +374,28 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_range", [100_000, 10])
+def test_sharding_against_brute_force(spark, rows_per_range):
+    data = rows() + [(2000 + i, "hot" * 20) for i in range(150)] + [(3000 + i, "warm " * 3) for i in range(12)] + [(4000 + i, prose(i, 9)) for i in range(300)]
+    docs = common.staged(spark.createDataFrame(data, "doc_id long, text string").repartition(3), "docs")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", "text", F.xxhash64(text).alias("h"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h2"))
+    keyed = [(r.h, r.h2, r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in keyed.collect()]
+    total, groups, wanted, at = sum(r[3] for r in keyed), Counter(), [], 0
+    for r in keyed:
+        groups[r[0]] += r[3]
+    ahead, slots = {}, Counter()
+    for h, _, doc_id, size, crc in sorted(keyed, key=lambda r: r[:2]):
+        ahead.setdefault(h, at)
+        middle = ahead[h] + groups[h] / 2 if groups[h] <= 0.05 * total / 16 else at + size / 2
+        shard = min(15, int(middle * 16 / total))
+        wanted.append((doc_id, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        at += size
+    found = sharding.shard_by_bytes(docs, rows_per_range=rows_per_range, together=0.05).select("doc_id", "size", "text_crc32", "shard", "slot")
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(wanted, key=key)
+
+
 def test_small_groups_of_equal_texts_stay_together(spark):
     data = [(i, prose(i % 2000, 8)) for i in range(4000)]
     found = sharding.shard_by_bytes(spark.createDataFrame(data, "doc_id long, text string")).collect()
@@ -475,8 +497,8 @@ def test_links_of_planted_fingerprints(spark):
     fps = sorted({*fps, *dense})
     table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").repartition(4)
     wanted = brute_components(fps, [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3])
-    for heavy in (50_000, 60):
-        links = [(x.a % (1 << 64), x.b % (1 << 64)) for x in simhash.near_links(table, heavy=heavy).collect()]
+    for heavy, at_once in ((50_000, 500_000), (60, 100)):
+        links = [(x.a % (1 << 64), x.b % (1 << 64)) for x in simhash.near_links(table, heavy=heavy, at_once=at_once).collect()]
         assert all((a ^ b).bit_count() <= 3 for a, b in links)
         assert brute_components(fps, links) == wanted
 
