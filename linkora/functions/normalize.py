@@ -87,14 +87,13 @@ def last_component(text: Column) -> Column:
     return F.lower(F.trim(F.element_at(F.split(text, ","), -1)))
 
 
-def normalized(records: DataFrame, learned: dict[str, str] | None = None, latin_only: bool = False) -> DataFrame:
+def normalized(records: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
     """``records`` (business_name, business_address, country) with name, core, alias, addr and nonlatin added.
 
-    ``latin_only`` promises text in ASCII and keeps the whole plan in the JVM.
+    Text of any script is put in Latin letters first, tokens of other scripts by the ``learned`` table.
     """
     name, addr = F.coalesce("business_name", F.lit("")), F.coalesce("business_address", F.lit(""))
-    staged = records.withColumns({"_name": name if latin_only else in_latin(name, learned), "_addr": addr if latin_only else in_latin(addr, learned)})
-    parts = staged.withColumn("_parts", name_parts(F.col("_name"))).withColumn("_cores", name_cores(F.col("_parts")))
+    parts = records.withColumns({"_name": in_latin(name, learned), "_addr": in_latin(addr, learned)}).withColumn("_parts", name_parts(F.col("_name"))).withColumn("_cores", name_cores(F.col("_parts")))
     joined = lambda tokens: F.array_join(tokens, " ")
     return parts.withColumns({
         "name": joined(F.flatten("_parts")), "core": joined(first_longest(F.col("_cores"))), "alias": F.array_join(F.transform("_cores", joined), " | "),

@@ -6,10 +6,10 @@ import functools
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .dictionaries import NON_LATIN
 
@@ -77,11 +77,14 @@ def transliterate(text: str, learned: dict[str, str] | None = None) -> str:
 
 
 def in_latin(text: Column, learned: dict[str, str] | None = None) -> Column:
-    """:func:`transliterate` as a column, in Arrow batches. ``learned`` is bounded by what a learner keeps."""
-
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: transliterate(x or "", learned))
+    """:func:`transliterate` as a column, in Arrow batches; a batch in ASCII passes as it is. ``learned`` is bounded by what a learner keeps."""
+
+    @F.arrow_udf("string")
+    def run(s: pa.Array) -> pa.Array:
+        s = pc.fill_null(s, "")
+        if pc.all(pc.string_is_ascii(s), min_count=0).as_py():
+            return s
+        return pa.array([transliterate(x, learned) for x in s.to_pylist()], pa.string())
 
     return run(text)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,22 @@ def competition(pairs: DataFrame) -> DataFrame:
     })
 
 
+def _cosine(q: Column, s: Column) -> Column:
+    """The product of two vectors, maps of token -> weight, summed over the first one's tokens."""
+    return F.coalesce(F.round(F.aggregate(F.map_entries(q), F.lit(0.0), lambda total, x: total + x.value * F.coalesce(F.try_element_at(s, x.key), F.lit(0.0))), 6), F.lit(0.0))
+
+
+def with_field_cosines(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
+    """``pairs`` (q_id, s_id and more) with name_cos, addr_cos and num_cos, from uncapped vectors; 0 where no token is shared.
+
+    Vectors are maps, a row for each record (:func:`tfidf.field_vectors`): a pair carries its two rows, and no token is shuffled.
+    """
+    fields = ("name", "addr", "num")
+    side = lambda df, x: df.select(F.col("entity_id").alias(f"{x}_id"), *[F.col(f"v_{f}").alias(f"{x}_v_{f}") for f in fields])
+    rows = pairs.join(side(queries, "q"), "q_id", "left").join(side(index, "s"), "s_id", "left")
+    return rows.withColumns({f"{f}_cos": _cosine(F.col(f"q_v_{f}"), F.col(f"s_v_{f}")) for f in fields}).drop(*[f"{x}_v_{f}" for x in "qs" for f in fields])
+
+
 def field_cosines(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
-    """name_cos, addr_cos and num_cos of (q_id, s_id) pairs, from uncapped vectors; 0 where no token is shared."""
-    q = queries.select(F.col("entity_id").alias("q_id"), "field", "tok", F.col("w").alias("wq"))
-    s = index.select(F.col("entity_id").alias("s_id"), "field", "tok", F.col("w").alias("ws"))
-    shared = pairs.select("q_id", "s_id").join(q, "q_id").join(s, ["s_id", "field", "tok"])
-    sums = shared.groupBy("q_id", "s_id").agg(*[F.round(F.sum(F.when(F.col("field") == f, F.col("wq") * F.col("ws")).otherwise(0.0)), 6).alias(f"{f}_cos") for f in ("name", "addr", "num")])
-    return pairs.join(sums, ["q_id", "s_id"], "left").fillna(0.0, ["name_cos", "addr_cos", "num_cos"])
+    """(q_id, s_id, name_cos, addr_cos, num_cos) of (q_id, s_id) pairs."""
+    return with_field_cosines(pairs.select("q_id", "s_id"), queries, index).select("q_id", "s_id", "name_cos", "addr_cos", "num_cos")

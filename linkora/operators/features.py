@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import score
+from ..functions.fuzzy import PAIR_SCORES, pair_scores
 from ..functions.normalize import skeleton
 from . import blocking
 from .ids import source_of
@@ -59,27 +59,20 @@ def set_features(rows: DataFrame) -> DataFrame:
 
 
 def string_features(rows: DataFrame) -> DataFrame:
-    """The fuzzy scores of names, cores, aliases and addresses."""
-    name, core, addr = [(F.col(f"q_{c}"), F.col(f"s_{c}")) for c in ("name", "core", "addr")]
-    cat = [F.replace(c, F.lit(" "), F.lit("")) for c in core]
-    rows = rows.withColumns({
-        "n_ratio": score("ratio", *name), "n_tset": score("token_set_ratio", *name), "c_ratio": score("ratio", *core), "c_tsort": score("token_sort_ratio", *core),
-        "c_tset": score("token_set_ratio", *core), "c_partial": score("partial_ratio", *core), "c_jw": score("jaro_winkler", *core), "cat_ratio": score("ratio", *cat),
-        "cat_partial": score("partial_ratio", *cat), "skel_ratio": score("ratio", *[skeleton(c) for c in core]), "a_ratio": score("ratio", *addr),
-        "a_tset": score("token_set_ratio", *addr), "a_tsort": score("token_sort_ratio", *addr), "a_partial": score("partial_token_set_ratio", *addr),
-        **{f"_alias{k}": score("token_set_ratio", F.coalesce(F.get(F.split("q_alias", r" \| "), F.lit(k)), F.lit("")), core[1]) for k in range(3)},
-    })
-    best = F.when(F.contains("q_alias", F.lit("|")), F.greatest("c_tset", "_alias0", "_alias1", "_alias2")).otherwise(F.col("c_tset"))
-    return rows.withColumn("alias_best", best).drop("_alias0", "_alias1", "_alias2")
+    """The fuzzy scores of names, cores, aliases and addresses, in one pass through Python."""
+    columns = ["q_name", "s_name", "q_core", "s_core", "q_skeleton", "s_skeleton", "q_alias", "q_addr", "s_addr"]
+    rows = rows.withColumns({f"{x}_skeleton": skeleton(F.col(f"{x}_core")) for x in "qs"}).withColumn("scores", pair_scores(*map(F.col, columns)))
+    return rows.withColumns({c: F.col(f"scores.{c}") for c in PAIR_SCORES}).drop("scores")
 
 
 def pair_features(pairs: DataFrame, queries: DataFrame, entities: DataFrame, query_weights: DataFrame, entity_weights: DataFrame) -> DataFrame:
     """q_id, s_id and :data:`FEATURES` of the (q_id, s_id, cos) candidates.
 
-    ``queries`` and ``entities`` are normalised records with tokens, the weights their uncapped vectors.
+    ``queries`` and ``entities`` are normalised records with tokens, the weights their uncapped vectors
+    (:func:`tfidf.field_vectors`).
     """
-    rows = blocking.field_cosines(blocking.competition(pairs.select("q_id", "s_id", "cos")), query_weights, entity_weights)
-    rows = string_features(set_features(gathered(rows, queries, entities)))
+    rows = gathered(blocking.competition(pairs.select("q_id", "s_id", "cos")), queries, entities)
+    rows = string_features(set_features(blocking.with_field_cosines(rows, query_weights, entity_weights)))
     group = Window.partitionBy("q_id")
     rows = rows.withColumns({f"{c}_gap": F.max(c).over(group) - F.col(c) for c in ("c_tset", "a_tset", "name_cos")})
     return rows.select("q_id", "s_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURES])

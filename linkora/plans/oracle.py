@@ -142,7 +142,7 @@ ORACLE_SQL: dict[str, str] = {
     "candidate_cut": f"{CAND} SELECT q_id, s_id, cos FROM cand",
     "doc_neardup_topk": f"""WITH t AS (SELECT doc_id AS entity_id, lang AS country, unnest(list_distinct({_words("regexp_replace(lower(coalesce(text, '')), '[^a-z0-9à-ÿ]', ' ', 'g')")})) AS tok FROM documents),
         f AS (SELECT tok, count(*) AS df FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
-        v AS (SELECT entity_id, country, t.tok, ln((n + 1) / (df + 1)) + 1 AS w0 FROM t JOIN f USING (tok), n WHERE df <= 50),
+        v AS (SELECT entity_id, country, t.tok, ln((n + 1) / (df + 1)) + 1 AS w0 FROM t JOIN f USING (tok), n),
         w AS (SELECT entity_id, country, tok, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY entity_id)) AS w FROM v),
         pairs AS (SELECT q.entity_id AS q_id, s.entity_id AS s_id, round(sum(q.w * s.w), 6) AS cos FROM w q JOIN w s USING (country, tok) WHERE q.entity_id % 100 = 0 AND q.entity_id <> s.entity_id GROUP BY ALL), {CUT}
         SELECT q_id, s_id, cos FROM cand""",

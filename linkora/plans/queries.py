@@ -14,19 +14,25 @@ from ..functions.normalize import normalized, skeleton, words
 from ..functions.romanize import in_latin, is_non_latin
 from ..operators import assign, blocking, features, ids, learn, matcher, sampling, tfidf, tokens
 from ..sources import delimited, outputs
+from ..sources.staging import shared_path, staged
 from . import fixture
 
-#: Tokens in more entities than this don't block.
+#: Tokens in more entities than this don't block, unless a run says otherwise.
 DF_CAP = 100
 TAUS = [round(0.2 + 0.05 * i, 2) for i in range(16)]
 
 
 @dataclass
 class Linkage:
-    """The stages of one linkage run over a data folder; each is built when first asked for."""
+    """The stages of one linkage run over a data folder; each is built when first asked for, and written if others use it.
+
+    ``df_cap`` bounds the fan-out of blocking tokens; ``learned`` is a table of transliterated tokens (see :func:`trained`).
+    """
 
     spark: SparkSession
     sf_dir: str
+    df_cap: int = DF_CAP
+    learned: dict[str, str] | None = None
 
     @cached_property
     def entities(self) -> DataFrame:
@@ -42,19 +48,27 @@ class Linkage:
 
     @cached_property
     def s_norm(self) -> DataFrame:
-        return tokens.with_tokens(normalized(self.entities, latin_only=True))
+        return tokens.with_tokens(normalized(self.entities, self.learned))
 
     @cached_property
     def q_norm(self) -> DataFrame:
-        return tokens.with_tokens(normalized(self.records, latin_only=True))
+        return tokens.with_tokens(normalized(self.records, self.learned))
+
+    @cached_property
+    def s_rows(self) -> DataFrame:
+        return staged(self.s_norm, "entities")
+
+    @cached_property
+    def q_rows(self) -> DataFrame:
+        return staged(self.q_norm, "records")
 
     @cached_property
     def s_tokens(self) -> DataFrame:
-        return tokens.exploded(self.s_norm)
+        return tokens.exploded(self.s_rows)
 
     @cached_property
     def q_tokens(self) -> DataFrame:
-        return tokens.exploded(self.q_norm)
+        return tokens.exploded(self.q_rows)
 
     @cached_property
     def n(self) -> int:
@@ -62,22 +76,22 @@ class Linkage:
 
     @cached_property
     def frequency(self) -> DataFrame:
-        return tfidf.document_frequency(self.s_tokens)
+        return staged(tfidf.document_frequency(self.s_tokens), "frequency")
 
     def weights(self, rows: DataFrame) -> DataFrame:
         return tfidf.weighted(rows, self.frequency, self.n)
 
     @cached_property
     def s_block(self) -> DataFrame:
-        return tfidf.block_vector(self.s_tokens, self.frequency, self.n, DF_CAP)
+        return tfidf.block_vector(self.s_tokens, self.frequency, self.n, self.df_cap)
 
     @cached_property
     def q_block(self) -> DataFrame:
-        return tfidf.block_vector(self.q_tokens, self.frequency, self.n, DF_CAP)
+        return tfidf.block_vector(self.q_tokens, self.frequency, self.n, self.df_cap)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return blocking.top_candidates(blocking.cosine_pairs(self.q_block, self.s_block))
+        return staged(blocking.top_candidates(blocking.cosine_pairs(self.q_block, self.s_block)), "candidates")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -100,7 +114,7 @@ class Linkage:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.pair_features(self.candidates, self.q_norm, self.s_norm, self.weights(self.q_tokens), self.weights(self.s_tokens))
+        return features.pair_features(self.candidates, self.q_rows, self.s_rows, tfidf.field_vectors(self.weights(self.q_tokens)), tfidf.field_vectors(self.weights(self.s_tokens)))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -198,7 +212,7 @@ def doc_frequency(x: Linkage) -> DataFrame:
 
 
 def idf(x: Linkage) -> DataFrame:
-    return x.frequency.select("field", "tok", F.round(tfidf.idf(x.n, F.col("df")), 6).alias("idf"), (F.col("df") <= DF_CAP).alias("blocks"))
+    return x.frequency.select("field", "tok", F.round(tfidf.idf(x.n, F.col("df")), 6).alias("idf"), (F.col("df") <= x.df_cap).alias("blocks"))
 
 
 def tfidf_weights(x: Linkage) -> DataFrame:
@@ -219,12 +233,12 @@ def candidate_cut(x: Linkage) -> DataFrame:
 
 
 def doc_neardup_topk(x: Linkage) -> DataFrame:
-    """Documents whose id is divisible by 100 against all of their language: top 8 by cosine of capped TF-IDF over words."""
+    """Documents whose id is divisible by 100 against all of their language: the exact top 8 by cosine of TF-IDF over all words."""
     docs = x.spark.read.parquet(f"{x.sf_dir}/documents.parquet")
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9à-ÿ]", " ")
     rows = docs.select(F.col("doc_id").alias("entity_id"), F.col("lang").alias("country"), F.lit("name").alias("field"), F.explode(F.array_distinct(words(text))).alias("tok"))
     frequency = tfidf.document_frequency(rows)
-    vectors = tfidf.block_vector(rows, frequency, docs.count(), 50, {"name": 1.0})
+    vectors = staged(tfidf.block_vector(rows, frequency, docs.count(), None, {"name": 1.0}), "vectors")
     pairs = blocking.cosine_pairs(vectors.filter("entity_id % 100 = 0"), vectors).filter("q_id <> s_id")
     return blocking.top_candidates(pairs).select("q_id", "s_id", "cos")
 
@@ -238,14 +252,14 @@ def dup_counts(x: Linkage) -> DataFrame:
 
 
 def field_cosines(x: Linkage) -> DataFrame:
-    return blocking.field_cosines(x.candidates.select("q_id", "s_id"), x.weights(x.q_tokens), x.weights(x.s_tokens))
+    return blocking.field_cosines(x.candidates, tfidf.field_vectors(x.weights(x.q_tokens)), tfidf.field_vectors(x.weights(x.s_tokens)))
 
 
 SET_COLUMNS = ["num_inter", "num_jacc", "num_q_cov", "num_q_len", "num_s_len", "ntok_inter", "ntok_jacc", "ntok_q_cov", "atok_inter", "atok_jacc", "atok_q_cov", "q_addr_empty", "q_src", "len_q_core", "len_s_core"]
 
 
 def set_overlap_features(x: Linkage) -> DataFrame:
-    rows = features.gathered(x.candidates.select("q_id", "s_id"), x.q_norm, x.s_norm)
+    rows = features.gathered(x.candidates.select("q_id", "s_id"), x.q_rows, x.s_rows)
     return features.set_features(rows).select("q_id", "s_id", *SET_COLUMNS)
 
 
@@ -324,13 +338,67 @@ def singleton_accuracy(x: Linkage) -> DataFrame:
     return alone.join(found, "s_id", "left").agg(F.count("*").alias("n_singletons"), F.count_if(F.col("hit").isNull()).alias("n_left_empty"))
 
 
+def _pairs(x: Linkage) -> DataFrame:
+    """The labelled candidate pairs with their features and folds, written once."""
+    return staged(matcher.with_fold(_labelled(x, x.features)), "pairs")
+
+
 def gbt_oof(x: Linkage) -> DataFrame:
     """Out-of-fold scores of the candidate pairs by boosted trees."""
-    pairs = matcher.with_fold(_labelled(x, x.features)).persist()
-    scored, _ = matcher.out_of_fold(pairs, rounds=8, depth=4)
+    scored, _ = matcher.out_of_fold(_pairs(x), rounds=8, depth=4)
     return scored.select("q_id", "s_id", "y", "fold", "p")
 
 
+def learned_tokens(x: Linkage) -> DataFrame:
+    """The transliteration table of the run's own owned records."""
+    s = x.entities.select(F.col("entity_id").alias("s_id"), F.concat_ws(" ", "business_name", "business_address").alias("s_text"))
+    return learn.translit_table(x.records.filter("true_s1 is not null").withColumnRenamed("true_s1", "s_id").join(s, "s_id"))
+
+
+def trained(x: Linkage) -> Linkage:
+    """The run with its learned table, so that text of other scripts is compared in the words it stands for."""
+    return Linkage(x.spark, x.sf_dir, x.df_cap, learn.as_dict(learned_tokens(x)))
+
+
+def _f_at(x: Linkage, best: DataFrame, truth: DataFrame, entities: DataFrame) -> tuple[float, float]:
+    """(threshold, macro F-beta) at the best threshold of the sweep; the lowest of several."""
+    row = assign.tau_sweep(entities, best, truth, TAUS).orderBy(F.desc("f"), "tau").first()
+    return row.tau, row.f
+
+
+def linkage_train_validate(x: Linkage, rounds: int = 12, depth: int = 5) -> DataFrame:
+    """The whole training run: learned table, candidates, features, out-of-fold scores, the threshold of the best macro F-beta, and the refit's size.
+
+    One row: tau, f (of the model, out of fold), f_cosine (of the blocking cosine at its best threshold), ceiling, floor, rounds (of the refit).
+    """
+    x = trained(x)
+    scored, trees = matcher.out_of_fold(_pairs(x), rounds=rounds, depth=depth)
+    tau, f = _f_at(x, staged(assign.best_owner(scored), "best"), x.truth, x.entities)
+    _, f_cosine = _f_at(x, x.best, x.truth, x.entities)
+    bounds = oracle_ceiling(x).first()
+    row = (tau, f, f_cosine, bounds.ceiling, bounds.floor, matcher.final_rounds(trees, rounds))
+    return x.spark.createDataFrame([row], "tau double, f double, f_cosine double, ceiling double, floor double, rounds int")
+
+
+def linkage_infer(x: Linkage, rounds: int = 12, depth: int = 5) -> DataFrame:
+    """Training on two folds and inference on the third: model file, scores, threshold, best owner, a list for every entity.
+
+    Folds are by owner, so no record or entity of the third was learned from; its threshold comes from the other two, out of fold.
+    """
+    x = trained(x)
+    pairs = _pairs(x)
+    known = pairs.filter("fold <> 0")
+    scored, trees = matcher.out_of_fold(known, rounds=rounds, depth=depth, folds=(1, 2))
+    owners = known.select(F.col("grp").alias("entity_id")).distinct()
+    entities = x.entities.join(owners, "entity_id", "left_semi")
+    truth = x.truth.join(entities.select(F.col("entity_id").alias("s_id")), "s_id", "left_semi")
+    tau, _ = _f_at(x, staged(assign.best_owner(scored), "best"), truth, entities)
+    path = shared_path(x.spark, "matcher")
+    matcher.save(matcher.fit(known, matcher.final_rounds(trees, rounds), depth=depth), path)
+    found = assign.best_owner(matcher.scored(matcher.load(path), pairs.filter("fold = 0")), tau)
+    return assign.grouped_lists(x.entities, found, "matched_entity_ids")
+
+
 def grouped_output(x: Linkage) -> DataFrame:
     return assign.grouped_lists(x.entities, x.matches, "matched_entity_ids")
 
@@ -346,30 +414,19 @@ def output_checks(x: Linkage) -> DataFrame:
 
 def stream_link(x: Linkage) -> DataFrame:
     """Records that arrive as a file stream, linked in micro-batches to static entities: the same matches as in one batch."""
-    import uuid
-
     from ..streaming.linkage import link_stream
 
-    spark = x.spark
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="linkora-")
-    root = f"{shared}/stream-{uuid.uuid4().hex}"
+    spark, root = x.spark, shared_path(x.spark, "stream")
     x.records.drop("true_s1").write.parquet(f"{root}/in")
-    vectors, frequency, n = x.s_block.persist(), x.frequency.persist(), x.n
+    vectors, frequency, n = staged(x.s_block, "vectors"), x.frequency, x.n
 
     def link(batch: DataFrame) -> DataFrame:
-        rows = tokens.exploded(tokens.with_tokens(normalized(batch, latin_only=True)))
-        pairs = blocking.top_candidates(blocking.cosine_pairs(tfidf.block_vector(rows, frequency, n, DF_CAP), vectors))
+        rows = tokens.exploded(tokens.with_tokens(normalized(batch, x.learned)))
+        pairs = blocking.top_candidates(blocking.cosine_pairs(tfidf.block_vector(rows, frequency, n, x.df_cap), vectors))
         return assign.best_owner(pairs.withColumn("p", F.col("cos")), 0.5).select("q_id", "s_id", "p")
 
     arriving = spark.readStream.schema(x.records.drop("true_s1").schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
     link_stream(arriving, link, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    vectors.unpersist(), frequency.unpersist()
     return spark.read.schema("q_id string, s_id string, p double").parquet(f"{root}/out").select("q_id", "s_id", "p")
 
 
@@ -380,7 +437,7 @@ _QUERIES: dict[str, Callable[[Linkage], DataFrame]] = {
         norm_name, norm_addr, name_skeleton, translit_words, translit_learn, blocking_tokens, token_hash, doc_frequency, idf, tfidf_weights, block_vector,
         cosine_topk, candidate_cut, doc_neardup_topk, rank_gap_features, dup_counts, field_cosines, set_overlap_features, pair_features, label_and_group,
         fold_assignment, argmax_assign, fbeta_entities, fbeta_macro, fbeta_by_country, blocking_recall, oracle_ceiling, tau_sweep, best_tau,
-        false_positives, singleton_accuracy, gbt_oof, grouped_output, output_stats, output_checks, stream_link,
+        false_positives, singleton_accuracy, gbt_oof, linkage_train_validate, linkage_infer, grouped_output, output_stats, output_checks, stream_link,
     )
 } | {
     "fuzzy_ratio": _fuzzy("ratio"), "fuzzy_token_sort": _fuzzy("token_sort_ratio"), "fuzzy_token_set": _fuzzy("token_set_ratio"), "fuzzy_partial": _fuzzy("partial_ratio"),

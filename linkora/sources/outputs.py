@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zipfile
 from collections.abc import Mapping
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .delimited import write_tsv
+from .staging import shared_path
+
 
 def violations(matches: DataFrame, candidates: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
     """(rule, n): how often each rule of the outputs is broken; all 0 in good outputs.
@@ -40,9 +46,40 @@ def violations(matches: DataFrame, candidates: DataFrame, entities: DataFrame, r
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files; each file is held by one task."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files of any size, read in pieces of a megabyte; one task reads a file."""
+
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for uri in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name, compression=None) as stream:
+                    while piece := stream.read(1 << 20):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.record_batch([*batch.columns, pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.mapInArrow(run, "path string, length long, sha256 string")
+
+
+def write_list_file(lists: DataFrame, entities: DataFrame, path: str) -> None:
+    """``lists`` (source1_entity_id and more) as one tab-separated file at ``path``, in the order of ``entities`` (entity_id), read from one file.
+
+    One task sorts and writes all rows, as a single file has it; an earlier file is replaced.
+    """
+    spark = lists.sparkSession
+    place = entities.select(F.col("entity_id").alias("source1_entity_id"), F.monotonically_increasing_id().alias("_place"))
+    rows = lists.join(place, "source1_entity_id").repartition(1).sortWithinPartitions("_place").drop("_place")
+    folder = shared_path(spark, "list-file")
+    write_tsv(rows.select(lists.columns), folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf, source, target = spark._jsc.hadoopConfiguration(), hadoop.Path(folder), hadoop.Path(path)
+    store, to = source.getFileSystem(conf), target.getFileSystem(conf)
+    part = next(x.getPath() for x in store.listStatus(source) if x.getPath().getName().startswith("part-"))
+    hadoop.FileUtil.copy(store, part, to, target, False, True, conf)
+    store.delete(source, True)
 
 
 def pack_archive(path: str, members: Mapping[str, str]) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkora.functions import fuzzy
 from linkora.functions.normalize import normalized, repair_ocr, skeleton
-from linkora.functions.romanize import romanize, transliterate
+from linkora.functions.romanize import in_latin, romanize, transliterate
 
 
 def norm(spark, rows, **how):
@@ -54,11 +54,15 @@ def test_addresses(spark):
     assert [r["addr"] for r in found] == [w for *_, w in ADDRESSES]
 
 
-def test_the_jvm_plan_agrees_on_ascii(spark):
-    rows = [(n[0], a, c) for n, (a, c, _) in zip(NAMES, ADDRESSES, strict=False) if (a or "").isascii()]
-    assert norm(spark, rows) == norm(spark, rows, latin_only=True)
-    plan = normalized(spark.createDataFrame(rows, "business_name string, business_address string, country string"), latin_only=True)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan
+def test_text_of_any_script_is_on_the_one_path(spark):
+    rows = [(n[0], a, c) for n, (a, c, _) in zip(NAMES, ADDRESSES, strict=False)] + [("हॉस्पिटैलिटी Leaf", "महाराष्ट्र", "India"), (None, None, "US")]
+    learned = {"hospitailiti": "hospitality"}
+    found = norm(spark, rows, learned=learned)
+    assert found[-2]["core"] == "hospitality leaf" and found[-2]["nonlatin"] and found[-1]["name"] == ""
+    assert found[:-2] == norm(spark, rows[:-2])
+    texts = ["ascii", "Café", None, "हॉस्पिटैलिटी", ""]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in table.coalesce(1).select(in_latin(F.col("t"), learned)).collect()] == [transliterate(t or "", learned) for t in texts]
 
 
 def test_curly_quotes_count_as_non_latin(spark):
@@ -122,12 +126,35 @@ def test_known_scores():
     assert fuzzy.jaro_winkler("", "") == 1 and fuzzy.jaro_winkler("a", "") == 0
 
 
-def test_lcs_in_the_engine(spark):
-    r = random.Random(3)
-    rows = [("".join(r.choice("abc d") for _ in range(r.randrange(9))), "".join(r.choice("abc d") for _ in range(r.randrange(9)))) for _ in range(60)]
-    table = spark.createDataFrame(rows, "a string, b string")
-    for row in table.select("a", "b", fuzzy.lcs_in_sql(F.col("a"), F.col("b")).alias("n")).collect():
-        assert row.n == slow_lcs(row.a, row.b)
+def test_pair_scores_in_one_pass(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 5)))
+    text = lambda: " ".join(word() for _ in range(r.randrange(0, 5)))
+    rows = [tuple(text() for _ in range(6)) + (" | ".join(text() for _ in range(r.randrange(1, 5))),) + (text(), text()) for _ in range(200)] + [(None,) * 9]
+    table = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(9))).repartition(3)
+    for row in table.select("*", fuzzy.pair_scores(*[F.col(f"c{i}") for i in range(9)]).alias("s")).collect():
+        q_name, s_name, q_core, s_core, q_skel, s_skel, alias, q_addr, s_addr = (x or "" for x in row[:9])
+        cat = q_core.replace(" ", ""), s_core.replace(" ", "")
+        aliases = [fuzzy.token_set_ratio(x, s_core) for x in alias.split(" | ")[:3]] if "|" in alias else []
+        wanted = [fuzzy.ratio(q_name, s_name), fuzzy.token_set_ratio(q_name, s_name), fuzzy.ratio(q_core, s_core), fuzzy.token_sort_ratio(q_core, s_core), fuzzy.token_set_ratio(q_core, s_core), fuzzy.partial_ratio(q_core, s_core)]
+        wanted += [fuzzy.jaro_winkler(q_core, s_core), fuzzy.ratio(*cat), fuzzy.partial_ratio(*cat), fuzzy.ratio(q_skel, s_skel), max([fuzzy.token_set_ratio(q_core, s_core), *aliases])]
+        wanted += [fuzzy.ratio(q_addr, s_addr), fuzzy.token_set_ratio(q_addr, s_addr), fuzzy.token_sort_ratio(q_addr, s_addr), fuzzy.partial_token_set_ratio(q_addr, s_addr)]
+        assert tuple(row.s) == tuple(wanted)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=3), max_size=5), st.lists(st.text("ab", min_size=1, max_size=3), max_size=5))
+def test_token_set_ratio_by_its_definition(x, y):
+    shared, ab, ba = sorted(set(x) & set(y)), sorted(set(x) - set(y)), sorted(set(y) - set(x))
+    found = fuzzy.token_set_ratio(" ".join(x), " ".join(y))
+    if not x or not y:
+        assert found == 0
+    elif shared and not (ab and ba):
+        assert found == 100
+    else:
+        both, one, two = " ".join(shared), " ".join(shared + ab), " ".join(shared + ba)
+        each = [fuzzy.ratio(one, two)] + [fuzzy.ratio(both, t) for t in (one, two) if shared]
+        assert found == pytest.approx(max(each))
 
 
 def test_scorers_in_sql(spark):
