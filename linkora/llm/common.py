@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import clear, shared_dir, shared_path, staged
+
+__all__ = ["MASK64", "bounded_batches", "clear", "shared_dir", "shared_path", "splitmix64", "staged", "table"]
+
 MASK64 = (1 << 64) - 1
 
 
@@ -14,34 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset a folder of this machine is made, which is right for a local master only; on any
-    other master the setting is required.
-    """
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not where:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="linkora-"))
-        where = context.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written to the shared folder and read again: the lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 32) -> None:
     """Arrow batches of a bounded size, so that long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
