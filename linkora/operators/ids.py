@@ -16,5 +16,6 @@ def encoded(entity_id: Column) -> Column:
 
 
 def bucket(key: Column, seed: int, buckets: int) -> Column:
-    """A stable bucket of a key: the same in any plan and at any partitioning."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
+    """A stable bucket of a key, the same in any plan, at any partitioning and in other engines: 60 bits of its md5 with the seed."""
+    digest = F.md5(F.concat_ws("|", key, F.lit(seed)).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(buckets))

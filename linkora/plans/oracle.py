@@ -117,6 +117,10 @@ def _ratio(pairs: str) -> str:
     return f"lr AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {_lcs('x', 'y')} / (length(x) + length(y)) END AS r FROM (SELECT DISTINCT x, y FROM {pairs}))"
 
 
+def _bucket(key: str, buckets: int) -> str:
+    return f"(('0x' || substr(md5({key} || '|42'), 1, 15))::BIGINT % {buckets})"
+
+
 _PAIRS_AB = f"{OWNED}, ab AS (SELECT DISTINCT q_core AS a, s_core AS b FROM pq)"
 _SETS = """st AS (SELECT a, b, list_distinct(list_filter(string_split(a, ' '), lambda t: t <> '')) AS ta, list_distinct(list_filter(string_split(b, ' '), lambda t: t <> '')) AS tb FROM ab),
     su AS (SELECT a, b, ta, tb, list_sort(list_intersect(ta, tb)) AS i, list_sort(list_filter(ta, lambda t: NOT list_contains(tb, t))) AS da, list_sort(list_filter(tb, lambda t: NOT list_contains(ta, t))) AS db FROM st),
@@ -160,6 +164,7 @@ ORACLE_SQL: dict[str, str] = {
             i_a AS atok_inter, round(i_a / greatest(len(qa) + len(sa) - i_a, 1), 6) AS atok_jacc, round(i_a / greatest(len(qa), 1), 6) AS atok_q_cov,
             CAST(qaddr = '' AS INTEGER) AS q_addr_empty, CAST(substr(q_id, 2, 1) AS INTEGER) AS q_src, length(qcore) AS len_q_core, length(score) AS len_s_core FROM g""",
     "label_and_group": f"{CAND} SELECT q_id, s_id, CAST(coalesce(true_s1 = s_id, false) AS INTEGER) AS y, coalesce(true_s1, q_id) AS grp FROM cand JOIN rec ON entity_id = q_id",
+    "fold_assignment": f"{CAND}, g AS (SELECT q_id, s_id, coalesce(true_s1, q_id) AS grp FROM cand JOIN rec ON entity_id = q_id) SELECT *, CAST({_bucket('grp', 3)} AS INTEGER) AS fold FROM g",
     "argmax_assign": f"{BEST} SELECT q_id, s_id, p FROM matches",
     "stream_link": f"{BEST} SELECT q_id, s_id, p FROM matches",
     "fbeta_entities": f"{BEST}, {_f('matches')} SELECT s_id, country, tp, n_pred, n_true, round(f, 6) AS f FROM fb",
@@ -200,4 +205,12 @@ ORACLE_SQL |= {
         e AS (SELECT taus.tau, entity_id, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM taus CROSS JOIN s1 LEFT JOIN n_p ON n_p.tau = taus.tau AND n_p.s_id = entity_id LEFT JOIN n_t ON n_t.s_id = entity_id)
         SELECT tau, round(avg(CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0::DOUBLE WHEN tp = 0 THEN 0.0::DOUBLE ELSE 1.25::DOUBLE * (tp / n_pred) * (tp / n_true) / (0.25::DOUBLE * (tp / n_pred) + tp / n_true) END), 6) AS f FROM e GROUP BY 1""",
 }
+_PICKED = """sizes AS (SELECT geo, count(*) AS n FROM keyed GROUP BY 1), small AS (SELECT * FROM sizes WHERE n <= 0.25 * (SELECT count(*) FROM s1)),
+    run AS (SELECT geo, coalesce(sum(n) OVER (ORDER BY md5(geo), geo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM small),
+    picked AS (SELECT geo FROM run WHERE before < 0.5 * (SELECT count(*) FROM s1))"""
+ORACLE_SQL["development_sample"] = f"""{_GEO}, {_PICKED}, cm AS ({ORACLE_SQL['component_geo_map'].removeprefix(_GEO).lstrip(', ').replace('rp AS', 'WITH rp AS', 1)}),
+    un AS (SELECT entity_id, country, unnest(string_split(business_address, ',')) AS c, generate_subscripts(string_split(business_address, ','), 1) AS pos FROM rec WHERE true_s1 IS NULL),
+    ug AS (SELECT u.entity_id, arg_max(cm.geo, pos) AS geo FROM un u JOIN cm ON cm.country = u.country AND cm.comp = lower(trim(c)) WHERE trim(c) <> '' GROUP BY 1)
+    SELECT entity_id, true_s1 FROM rec WHERE true_s1 IN (SELECT entity_id FROM keyed WHERE geo IN (SELECT geo FROM picked))
+    UNION ALL SELECT r.entity_id, r.true_s1 FROM rec r LEFT JOIN ug USING (entity_id) WHERE true_s1 IS NULL AND (geo IN (SELECT geo FROM picked) OR (geo IS NULL AND {_bucket('r.entity_id', 1_000_000)} < 100000))"""
 ORACLE_SQL["best_tau"] = f"SELECT * FROM ({ORACLE_SQL['tau_sweep']}) ORDER BY f DESC, tau LIMIT 1"

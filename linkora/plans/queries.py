@@ -349,6 +349,16 @@ def gbt_oof(x: Linkage) -> DataFrame:
     return scored.select("q_id", "s_id", "y", "fold", "p")
 
 
+def gbt_importances(x: Linkage) -> DataFrame:
+    """The twenty features that a model over all pairs rests on most, and their share."""
+    model = matcher.fit(_pairs(x), rounds=8, depth=4)
+    return x.spark.createDataFrame(matcher.importances(model, 20), "feature string, importance double")
+
+
+def translit_shown(x: Linkage) -> DataFrame:
+    return learn.shown(translit_learn(x))
+
+
 def learned_tokens(x: Linkage) -> DataFrame:
     """The transliteration table of the run's own owned records."""
     s = x.entities.select(F.col("entity_id").alias("s_id"), F.concat_ws(" ", "business_name", "business_address").alias("s_text"))
@@ -437,7 +447,7 @@ _QUERIES: dict[str, Callable[[Linkage], DataFrame]] = {
         norm_name, norm_addr, name_skeleton, translit_words, translit_learn, blocking_tokens, token_hash, doc_frequency, idf, tfidf_weights, block_vector,
         cosine_topk, candidate_cut, doc_neardup_topk, rank_gap_features, dup_counts, field_cosines, set_overlap_features, pair_features, label_and_group,
         fold_assignment, argmax_assign, fbeta_entities, fbeta_macro, fbeta_by_country, blocking_recall, oracle_ceiling, tau_sweep, best_tau,
-        false_positives, singleton_accuracy, gbt_oof, linkage_train_validate, linkage_infer, grouped_output, output_stats, output_checks, stream_link,
+        false_positives, singleton_accuracy, gbt_oof, gbt_importances, translit_shown, linkage_train_validate, linkage_infer, grouped_output, output_stats, output_checks, stream_link,
     )
 } | {
     "fuzzy_ratio": _fuzzy("ratio"), "fuzzy_token_sort": _fuzzy("token_sort_ratio"), "fuzzy_token_set": _fuzzy("token_set_ratio"), "fuzzy_partial": _fuzzy("partial_ratio"),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from linkora.operators import assign, blocking, features, ids, learn, matcher, sampling, tfidf, tokens
 from linkora.plans import oracle
+from linkora.plans import queries
 from linkora.plans.queries import QUERIES, Linkage
-from linkora.sources import delimited, outputs
+from linkora.sources import delimited, outputs, staging
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,7 +38,7 @@ def comparable(df):
     return Counter(map(tuple, df.to_numpy().tolist()))
 
 
-@pytest.mark.parametrize("name", ["norm_name", "norm_addr", "blocking_tokens", "idf", "block_vector", "candidate_cut", "field_cosines", "set_overlap_features", "tau_sweep", "component_geo_map", "geo_sample", "stream_link", "fuzzy_token_set", "jaro_winkler", "fbeta_entities"])
+@pytest.mark.parametrize("name", ["norm_name", "norm_addr", "blocking_tokens", "idf", "block_vector", "candidate_cut", "field_cosines", "set_overlap_features", "tau_sweep", "fold_assignment", "development_sample", "component_geo_map", "geo_sample", "stream_link", "fuzzy_token_set", "jaro_winkler", "fbeta_entities"])
 def test_against_sql(spark, sf_dir, duck, name):
     found, wanted = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(oracle.ORACLE_SQL[name]).df()
     assert sorted(found.columns) == sorted(wanted.columns)
@@ -142,15 +143,15 @@ def test_development_records(spark, sf_dir, linkage):
 
 
 def test_features_and_matcher(spark, linkage, tmp_path):
-    pairs = linkage.features.persist()
+    pairs = staging.staged(linkage.features, "features")
     assert pairs.columns == ["q_id", "s_id", *features.FEATURES] and len(features.FEATURES) == 44
     assert pairs.count() == linkage.candidates.count()
     assert pairs.filter(" or ".join(f"{c} is null" for c in features.FEATURES)).count() == 0
     truth = linkage.records.select(F.col("entity_id").alias("q_id"), "true_s1")
-    labelled = matcher.with_fold(matcher.labelled(pairs, truth)).persist()
+    labelled = staging.staged(matcher.with_fold(matcher.labelled(pairs, truth)), "labelled")
     assert labelled.groupBy("grp").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
     scored, trees = matcher.out_of_fold(labelled, rounds=3, depth=3)
-    scored = scored.persist()
+    scored = staging.staged(scored, "scored")
     assert scored.count() == labelled.count() and len(trees) == 3
     right = assign.best_owner(scored, 0.5).filter("y = 1").count()
     assert right > 0.9 * linkage.truth.count()
@@ -162,6 +163,44 @@ def test_features_and_matcher(spark, linkage, tmp_path):
     assert matcher.importances(model)[0][1] > 0
 
 
+def test_training_and_inference(spark, sf_dir, linkage):
+    row = queries.linkage_train_validate(linkage, rounds=3, depth=3).first()
+    assert row.floor < row.f <= row.ceiling + 1e-9 and row.f > 0.9 and row.tau in queries.TAUS and row.rounds >= 1
+    lists = queries.linkage_infer(linkage, rounds=3, depth=3).collect()
+    assert len(lists) == linkage.n
+    owner = {r.q_id: r.s_id for r in linkage.truth.collect()}
+    found = [(q, r.source1_entity_id) for r in lists for q in filter(None, r.matched_entity_ids.split(","))]
+    assert len(found) == len({q for q, _ in found}) and sum(owner.get(q) == s for q, s in found) > 0.9 * len(found) > 0
+    fold = {r.grp: r.fold for r in queries.fold_assignment(linkage).collect()}
+    assert {fold[owner.get(q, q)] for q, _ in found} == {0}
+
+
+def test_learned_tokens_reach_the_candidates(spark, sf_dir, linkage):
+    """Records in another script: what the table says for their tokens is what is compared."""
+    x = Linkage(spark, sf_dir)
+    x.entities = spark.createDataFrame([(f"S1-{i}", f"green leaf hospitality {i}", f"{i} polk street", "India") for i in range(12)], "entity_id string, business_name string, business_address string, country string")
+    x.records = spark.createDataFrame([(f"S2-{i}", f"हॉस्पिटैलिटी leaf {i}", f"{i} polk street", "India", f"S1-{i}") for i in range(12)], "entity_id string, business_name string, business_address string, country string, true_s1 string")
+    table = learn.as_dict(queries.learned_tokens(x))
+    assert table["hospitailiti"] == "hospitality"
+    x.learned = table
+    assert all("hospitality" in r.core.split() and r.nonlatin for r in x.q_norm.collect())
+
+
+def test_a_list_file_keeps_the_input_order(spark, tmp_path):
+    entities = [f"S1-{i}" for i in (5, 3, 9, 1, 7)]
+    (tmp_path / "in.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"{e}\tn\ta\tUS\n" for e in entities))
+    lists = spark.createDataFrame([(e, "S2-1,S3-2" if e == "S1-9" else "") for e in sorted(entities)], "source1_entity_id string, matched_entity_ids string")
+    for _ in range(2):
+        outputs.write_list_file(lists, delimited.read_tsv(spark, f"file://{tmp_path}/in.tsv"), f"file://{tmp_path}/out.tsv")
+    wanted = "source1_entity_id\tmatched_entity_ids\n" + "".join(f"{e}\t{'S2-1,S3-2' if e == 'S1-9' else ''}\n" for e in entities)
+    assert (tmp_path / "out.tsv").read_text() == wanted
+
+
+def test_cleared_tables_are_gone(spark, tmp_path):
+    path = staging.shared_path(spark, "x")
+    assert spark.sparkContext.applicationId in path and staging.shared_path(spark, "x") != path
+
+
 def test_tsv_round_trip(spark, tmp_path):
     folder = tmp_path / "train"
     folder.mkdir()
