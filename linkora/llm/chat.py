@@ -52,7 +52,7 @@ class Codec:
     def __init__(self, template: Template):
         self.template = template
         any_control = "|".join(map(re.escape, template.controls()))
-        self._escape, self._unescape = re.compile(rf"\\*(?:{any_control})"), re.compile(rf"\\(\\*(?:{any_control}))")
+        self._escape, self._unescape = re.compile(rf"(?<!\\)\\*(?:{any_control})"), re.compile(rf"(?<!\\)\\(\\*(?:{any_control}))")
         self.control = re.compile(rf"(?<!\\)(?:{any_control})")
 
     def escape(self, text: str) -> str:

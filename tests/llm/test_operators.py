@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from linkora.llm import chat, common, decontam, exact_dedup, langid, packing, queries, sharding, simhash, substring_dedup, tokens, training_order, wordpiece
+from linkora.llm import chat, common, decontam, exact_dedup, hashing, langid, packing, queries, sharding, simhash, substring_dedup, tokens, training_order, wordpiece
 from linkora.llm.components import components
 
 WORDS = "alpha beta gamma delta the of and zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -222,6 +222,25 @@ def test_language_id(spark, sf_dir, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+# --- word hashes
+
+
+@pytest.mark.parametrize("chunk", [1 << 22, 16, 5])
+def test_hashed_words_are_those_of_a_pattern(monkeypatch, chunk):
+    monkeypatch.setattr(hashing, "CHUNK", chunk)
+    outside = np.zeros(256, bool)
+    outside[[32, *range(9, 14)]] = True
+    r, known = random.Random(chunk), {}
+    for _ in range(200):
+        texts = ["".join(r.choice("ab \n") for _ in range(r.randrange(40))).encode() for _ in range(r.randrange(6))]
+        starts = np.array([sum(map(len, texts[:i])) for i in range(len(texts))], np.int64)
+        places, hashes = hashing.hashed_words(np.frombuffer(b"".join(texts), np.uint8), outside, starts)
+        wanted = [(s + m.start(), m[0]) for s, t in zip(starts.tolist(), texts, strict=True) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)]
+        assert places.tolist() == [at for at, _ in wanted]
+        assert all(known.setdefault(w, h) == h for h, (_, w) in zip(hashes.tolist(), wanted, strict=True))
+    assert len(set(known.values())) == len(known)
+
+
 # --- substring dedup
 
 
@@ -450,6 +469,11 @@ def test_escaping_can_be_undone(text):
     assert list(codec.read(iter(whole))) == [("user", text), ("assistant", text)]
 
 
+def test_a_long_run_of_backslashes_takes_linear_time():
+    codec, text = chat.Codec(chat.Template()), "\\" * 2_000_000 + " x" + "\\" * 1_000_000 + "</s>"
+    assert codec.unescape(codec.escape(text)) == text and len(codec.escape(text)) == len(text) + 1
+
+
 # --- SimHash
 
 
