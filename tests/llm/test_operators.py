@@ -298,6 +298,19 @@ def test_keys_that_agree_in_their_first_part_only_are_not_tied():
     assert [np.unpackbits(np.frombuffer(m, np.uint8)).tolist()[:n] for m, n in zip(masks, (3, 1), strict=True)] == [[0, 1, 0], [1]]
 
 
+def test_a_text_longer_than_a_block(spark):
+    passage = prose(600, 300)[:1500]
+    long = prose(601, 250_000) + "<" + passage + ">" + prose(602, 250_000)
+    assert len(long) > 3 << 20
+    table = spark.createDataFrame([(1, long), (2, prose(603, 50) + "(" + passage + ")"), (3, prose(604, 90)), (4, "z" * 2_500_000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in substring_dedup.remove_repeats(table).collect()}
+    assert [(found[i].n_removed, found[i].n_spans) for i in (1, 2, 3, 4)] == [(1500, 1), (1500, 1), (0, 0), (2_500_000, 1)]
+    kept = long.replace("<" + passage + ">", "<>")
+    assert found[1].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+    inner = len(passage.split()) - 2  # its outer words are joined to others on either side
+    assert (found[1].n_shared_words, found[2].n_shared_words, found[3].n_shared_words, found[4].n_shared_words) == (inner, inner, 0, 0)
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
