@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import spread
+
 S1_SQL = """
 select 'S1-' || cast(c.c_custkey as varchar(20)) as entity_id,
        p.p_name || ' ' || lower(p.p_brand) || ' ' || c.c_mktsegment ||
@@ -34,4 +36,5 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REC_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), s1=entities(spark, sf_dir))
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
+    return spark.sql(REC_SQL, orders=orders, s1=entities(spark, sf_dir))

@@ -45,3 +45,12 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan``, dealt out to every core where it has fewer partitions: a file of one row group is one task's work, however dear its rows.
+
+    A scan of more partitions, as of any large table, is left alone. Select its columns first.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
