@@ -242,3 +242,24 @@ def test_outputs(spark, tmp_path):
 def test_scans_read_only_what_they_need(spark, linkage):
     plan = linkage.entities._jdf.queryExecution().executedPlan().toString()
     assert "c_acctbal" not in plan.split("ReadSchema", 1)[1]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    rows = staging.staged(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    staging.staged(rows.join(spark.range(7).repartition(3).withColumnRenamed("id", "k"), "k").repartition(2), "joined")
+    assert not shuffle_files(spark) - before
+
+
+def test_features_in_passes_are_those_of_one_pass(spark, sf_dir, linkage, monkeypatch):
+    monkeypatch.setattr(queries, "PER_PASS", 400)
+    x = Linkage(spark, sf_dir)
+    rows = x.features
+    assert len(x.q_parts) > 2 and x.q_rows.count() == linkage.q_rows.count()
+    assert x.candidates.exceptAll(linkage.candidates).isEmpty() and linkage.candidates.exceptAll(x.candidates).isEmpty()
+    assert rows.exceptAll(linkage.features).isEmpty() and rows.count() == linkage.features.count()
