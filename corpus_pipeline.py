@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkora.llm import decontam, exact_dedup, langid, packing, similar
+from linkora.llm import decontam, exact_dedup, langid, packing, similar, simhash
 from linkora.llm.common import staged, table
 from linkora.llm.rows import NumberedRows, free_name
 
@@ -32,9 +32,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked, over others, by a five-word Jaccard similarity of at least 0.8 the one of the smallest doc_id stays. Texts without words, null ones too, count as alike."""
+    """SimHash links (five words, 3 bits), each group checked by exact similarity, and what lies further apart than 3 bits.
+
+    Of rows linked, over others, by a five-word Jaccard similarity of at least 0.8 the one of the smallest doc_id stays. Texts without words, null ones too, count as alike.
+    """
     numbered = NumberedRows(docs)
-    return numbered.without(similar.repeats(numbered))
+    groups = simhash.near_duplicates(numbered.rows.select(F.col(numbered.number).alias("doc_id"), "text"), words=5)
+    return numbered.without(similar.repeats(numbered, groups))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

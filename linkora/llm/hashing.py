@@ -9,7 +9,8 @@ import numpy as np
 from .common import splitmix64
 
 BASE = 0xD1342543DE82EF95
-CHUNK = 1 << 22
+#: Bytes at once; a chunk takes up to fifty times its size of memory.
+CHUNK = 1 << 18
 
 
 @functools.lru_cache(1)

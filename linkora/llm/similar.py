@@ -1,6 +1,6 @@
-"""Near duplicates by exact Jaccard similarity of word shingles; MinHash bands find the candidates.
+"""Near duplicates by exact Jaccard similarity of word shingles, checked on what SimHash links and on what shares a MinHash band.
 
-Rows that share a band are a group. A group of any size is compared in two steps, neither of which holds it
+Rows that SimHash links, and rows that share a band, are a group. A group of any size is compared in two steps, neither of which holds it
 in one task: each row with the group's centre, then, where that leaves a group in several parts, the rows
 apart from the centre's part with all others, in tiles of a bounded number of rows.
 """
@@ -66,7 +66,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return key
 
 
-def links_of(sets: list[np.ndarray], share: int = 80, most: int = 2048) -> list[tuple[int, int]]:
+def links_of(sets: list[np.ndarray], share: int = 80, most: int = 256) -> list[tuple[int, int]]:
     """Pairs of places whose sets have a Jaccard similarity of at least ``share`` hundredths; of many sets a forest of them."""
     sizes = np.array([len(x) for x in sets])
     if len(sets) == 2:
@@ -91,8 +91,8 @@ def links_of(sets: list[np.ndarray], share: int = 80, most: int = 2048) -> list[
                 has = np.zeros((len(which), 1024), np.float32)
                 has[row, ids[a:b] - first] = 1
                 common[np.ix_(which[own] - low, which)] += has[own] @ has.T
-        either = sizes[low:high, None] + sizes[None, :] - common
-        x, y = np.nonzero(100 * common >= share * either)
+        # exact in 64 bits: 100 * common >= share * (both sizes - common)
+        x, y = np.nonzero((100 + share) * common.astype(np.int64) >= share * (sizes[low:high, None] + sizes[None, :]))
         found = np.stack([x + low, y], axis=1)
         out = forest(np.concatenate([np.array(out, np.int64).reshape(-1, 2), found[found[:, 0] < found[:, 1]]]))
     return out
@@ -100,7 +100,7 @@ def links_of(sets: list[np.ndarray], share: int = 80, most: int = 2048) -> list[
 
 def prints(docs: DataFrame, words: int = 5) -> DataFrame:
     """(row, doc_id, digest of the set of shingles, bands) of ``docs`` (row, doc_id, text); null text has no shingles."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 1000, 8)
 
     def run(batches):
         for batch in batches:
@@ -126,6 +126,12 @@ def band_groups(bands: DataFrame) -> DataFrame:
     return staged(members.join(signs.groupBy("centre", "n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "members")
 
 
+def with_groups(bands: DataFrame, groups: DataFrame) -> DataFrame:
+    """``bands`` (row, bands) with one band more: the component of the row in ``groups`` (doc_id, component_id), as :func:`simhash.near_duplicates` gives it for numbered rows."""
+    own = groups.select(F.col("doc_id").alias("row"), F.xxhash64("component_id", F.lit("simhash")).alias("own"))
+    return bands.join(own, "row").select("row", F.concat("bands", F.array("own")).alias("bands"))
+
+
 def star_tiles(members: DataFrame, block: int) -> DataFrame:
     """(tile, row, first): each row with a centre of its groups, which is first; a centre of more than ``block`` rows has several tiles."""
     pairs = members.filter("row <> centre").select("row", "centre").distinct()
@@ -203,10 +209,11 @@ def similar_roots(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     return roots if links.isEmpty() else components(as_edges(links).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
-def repeats(docs: NumberedRows, share: float = 0.8, words: int = 5) -> DataFrame:
+def repeats(docs: NumberedRows, groups: DataFrame, share: float = 0.8, words: int = 5) -> DataFrame:
     """(row): the numbers of the rows of whole ``docs`` (doc_id, text) that go as near duplicates.
 
-    Rows are linked where their sets of shingles of ``words`` words have a Jaccard similarity of at least ``share``,
+    Candidates are the rows that SimHash links over others (``groups``: doc_id, the row's number, and component_id) and those that share a band.
+    They are linked where their sets of shingles of ``words`` words have a Jaccard similarity of at least ``share``,
     which is computed from the sets. Of each group of linked rows the one of the smallest doc_id stays, null ids last;
     of rows that share it, one. Rows of equal sets are one class before anything is compared; texts without words, null
     ones too, are one class. An empty table gives no rows; other columns are ignored.
@@ -214,7 +221,7 @@ def repeats(docs: NumberedRows, share: float = 0.8, words: int = 5) -> DataFrame
     sets = staged(prints(docs.rows.select(F.col(docs.number).alias("row"), "doc_id", "text"), words), "prints")
     classes = staged(sets.groupBy("digest").agg(F.min("row").alias("node")), "classes")
     firsts = sets.join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
-    roots = similar_roots(firsts.select("row", "bands"), docs.texts, share, words)
+    roots = similar_roots(with_groups(firsts.select("row", "bands"), groups), docs.texts, share, words)
     named = classes.join(roots, classes.node == roots.node, "left").select("digest", F.coalesce("root", classes.node).alias("root"))
     rows = staged(sets.select("row", "doc_id", "digest").join(named.hint("merge"), "digest").select("row", "doc_id", "root"), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row")

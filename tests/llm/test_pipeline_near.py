@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from test_operators import brute_components, prose
 
-from linkora.llm import common, similar
+from linkora.llm import common, simhash, similar
 
 
 def shingle_set(text):
@@ -77,3 +77,23 @@ def test_no_row_is_sent_to_every_other(spark):
     roots = similar.components(stars.selectExpr("a as u", "b as v"))
     assert similar.rest_tiles(members, roots, 10).count() == 0
     assert roots.count() == 99
+
+
+def test_simhash_links_are_candidates(spark):
+    """Rows that share no band are found by the SimHash operator, and stay apart where they are not alike."""
+    words = prose(980, 900).split()
+    texts = {k: " ".join([*words[: 2 * k], f"new{k}", *words[2 * k + 1 :]]) for k in range(20)} | {100 + k: prose(981 + k, 60) for k in range(5)}
+    docs = common.staged(spark.createDataFrame(list(texts.items()), "row long, text string"), "docs")
+    groups = simhash.near_duplicates(docs.selectExpr("row as doc_id", "text"), words=5)
+    linked = {r.doc_id for r in groups.collect() if r.doc_id != r.component_id}
+    assert len(linked) > 5 and linked <= set(range(1, 20))
+    bands = similar.with_groups(docs.selectExpr("row", "array(row) as bands"), groups)
+    found = {x.node for x in similar.similar_roots(bands, lambda rows: docs.join(rows, "row", "left_semi")).collect()}
+    assert found == linked
+
+
+def test_near_stage_goes_through_simhash(spark, sf_dir, monkeypatch):
+    docs, calls, operator = common.table(spark, sf_dir, "documents").limit(50), [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: calls.append(k) or operator(*a, **k))
+    corpus_pipeline.near(spark, common.staged(docs, "documents"), sf_dir).count()
+    assert calls == [{"words": 5}]
