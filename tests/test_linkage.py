@@ -263,3 +263,10 @@ def test_features_in_passes_are_those_of_one_pass(spark, sf_dir, linkage, monkey
     assert len(x.q_parts) > 2 and x.q_rows.count() == linkage.q_rows.count()
     assert x.candidates.exceptAll(linkage.candidates).isEmpty() and linkage.candidates.exceptAll(x.candidates).isEmpty()
     assert rows.exceptAll(linkage.features).isEmpty() and rows.count() == linkage.features.count()
+
+
+def test_documents_are_searched_in_passes(spark, sf_dir, monkeypatch):
+    found = QUERIES["doc_neardup_topk"](spark, sf_dir)
+    monkeypatch.setattr(queries, "PAIRS_PER_PASS", 100)
+    again = QUERIES["doc_neardup_topk"](spark, sf_dir)
+    assert len(again.inputFiles()) >= 2 and again.exceptAll(found).isEmpty() and again.count() == found.count() > 0
