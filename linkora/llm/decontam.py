@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
 from .hashing import hashed_words
+from .workers import held, tidy
 
 #: A-Z to a-z; every ASCII byte that is no letter or digit to a space; bytes over 0x7F belong to words.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -97,7 +98,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_ids", "rows", "n_words", "terms", "counts", "places"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").cast("binary").alias("text"))
-    return staged(rows.mapInArrow(run, INDEX), "index", "zstd")
+    return staged(rows.mapInArrow(tidy(run), INDEX), "index", "zstd")
 
 
 def documents(index: DataFrame) -> DataFrame:
@@ -106,11 +107,6 @@ def documents(index: DataFrame) -> DataFrame:
     return rows.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.rows").alias("row"), F.col("x.n_words").alias("n_words"))
 
 
-@functools.lru_cache(4)
-def _unpickled(data: bytes):
-    return pickle.loads(data)
-
-
 def _found(vocabulary: np.ndarray, terms: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(which of ``vocabulary`` a segment has, where among its terms)."""
     own = np.frombuffer(terms, "<u8")
@@ -133,7 +129,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for row in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in index.select("terms", "counts").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row.term] = row.n
     return out
 
@@ -244,14 +240,14 @@ def search(index: DataFrame, tests: TestSet, slop: int = 3) -> DataFrame:
             yield rows[d], *out
 
     def run(batches):
-        plan = _unpickled(sent.value)
+        plan = held(pickle.loads, sent.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, n_words, terms, counts, places = (c[i].as_py() for c in batch.columns)
                 out = list(zip(*matches(plan, rows, np.array(n_words, np.int64), terms, counts, places), strict=True)) or [()] * 4
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.list_(pa.string()), _SPANS, _NEAR), strict=True)], names=["row", "items", "spans", "near"])
 
-    return index.select("rows", "n_words", "terms", "counts", "places").mapInArrow(run, HITS)
+    return index.select("rows", "n_words", "terms", "counts", "places").mapInArrow(tidy(run, model=True), HITS)
 
 
 def _owner(base: np.ndarray, n_words: np.ndarray, places: np.ndarray) -> np.ndarray:

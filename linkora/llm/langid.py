@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import bounded_batches
+from .workers import held, tidy
 
 UNDETERMINED = "und"
 #: Phrases end where a block of so many bytes of a text ends.
@@ -244,9 +245,7 @@ class Parser:
         return out
 
 
-@functools.lru_cache(1)
 def parser_of(pickled: bytes) -> Parser:
-    """One parser for each model and worker process."""
     return Parser(pickle.loads(pickled))
 
 
@@ -264,18 +263,18 @@ def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("la
     at = docs.columns.index("text")
 
     def run(batches):
-        parser = parser_of(sent.value)
+        parser = held(parser_of, sent.value)
         for batch in batches:
-            out, held, size = [], [], 0
+            out, some, size = [], [], 0
             for text in batch.column(at).to_pylist():
-                held.append(text)
+                some.append(text)
                 size += len(text or "")
                 if size >= chars:
-                    out += parser.decide(held)
-                    held, size = [], 0
-            out += parser.decide(held) if held else []
+                    out += parser.decide(some)
+                    some, size = [], 0
+            out += parser.decide(some) if some else []
             columns = [*batch.columns, pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
     schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, model=True), schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, splitmix64
 from .tokens import bpe_file, bpe_of, bpe_pattern
+from .workers import tidy
 
 PIECES = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -81,7 +82,7 @@ def pieces(docs: DataFrame, groups: int, capacity: int = 2048, end_id: int = 1,
                 names = ["grp", "doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(cut, model=True), schema)
 
 
 def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False, group_docs: int = 4096, seed: int = 42) -> DataFrame:

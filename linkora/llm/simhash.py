@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, splitmix64, staged
 from .components import components
+from .workers import tidy
 
 #: Each half of a fingerprint is covered by the [31,26] Hamming code (radius 1) and one free bit.
 HALF, CODE = 32, 31
@@ -157,7 +158,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, words) if t else 0 for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _sub_keys(anchor: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,16 +214,16 @@ def near_links(classes: DataFrame, bits: int = 3, heavy: int = 50_000, per_task:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-34 * n_classes // per_task))
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+        return rows.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(compare), "a long, b long")
 
-    spread = classes.select("fp").mapInArrow(replicate, "anchor long, fp long")
+    spread = classes.select("fp").mapInArrow(tidy(replicate), "anchor long, fp long")
     if n_classes <= heavy:  # no anchor can hold more
         return compared(spread)
     many = staged(spread.groupBy("anchor").count().filter(F.col("count") > heavy).select("anchor"), "heavy-anchors")
     if many.isEmpty():
         return compared(spread)
     light, dense = spread.join(many, "anchor", "left_anti"), spread.join(many, "anchor", "left_semi")
-    return compared(light).unionByName(compared(dense.mapInArrow(divide, "anchor long, fp long")))
+    return compared(light).unionByName(compared(dense.mapInArrow(tidy(divide), "anchor long, fp long")))
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3) -> DataFrame:

@@ -20,6 +20,7 @@ from .components import components
 from .hashing import hashed_words
 from .rows import NumberedRows
 from .simhash import SEED, forest
+from .workers import tidy
 
 #: Two sets of Jaccard 0.8 meet in none of the bands with probability (1 - 0.8**5)**32, 3e-6; closer ones less often.
 BANDS, ROWS = 32, 5
@@ -109,7 +110,7 @@ def prints(docs: DataFrame, words: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), bands], names=["row", "doc_id", "digest", "bands"])
 
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, digest binary, bands array<long>")
+    return rows.mapInArrow(tidy(run), "row long, doc_id long, digest binary, bands array<long>")
 
 
 def band_groups(bands: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def linked_in_tiles(tiles: DataFrame, texts: DataFrame, hundredths: int, words:
         yield batch_of(close())
 
     held = tiles.join(texts.hint("merge"), "row").select("tile", "row", "first", F.col("text").cast("string").cast("binary").alias("text"))
-    return held.repartition("tile").sortWithinPartitions("tile", F.desc("first"), "row").mapInArrow(linked, "a long, b long")
+    return held.repartition("tile").sortWithinPartitions("tile", F.desc("first"), "row").mapInArrow(tidy(linked), "a long, b long")
 
 
 def rest_tiles(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:

@@ -7,7 +7,6 @@ batch and numbers its chunks; Python sees each distinct chunk of a batch once.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -15,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .workers import held
+
 #: What the pattern's ``\\s`` means: Unicode white space (a fixed value; Python's own adds \\x1c-\\x1f).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Longer runs of white space never reach the pattern, whose backtracking would overflow on them.
@@ -157,10 +158,9 @@ class ByteBpe:
         return ids.astype("<u4").tobytes()
 
 
-@functools.lru_cache(2)
 def bpe_of(vocabulary: bytes, pattern: str) -> ByteBpe:
-    """One encoder for each vocabulary and worker process."""
-    return ByteBpe(vocabulary, pattern)
+    """The worker's encoder, with what it has met so far."""
+    return held(ByteBpe, vocabulary, pattern)
 
 
 def largest_id(vocabulary: bytes) -> int:
