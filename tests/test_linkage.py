@@ -270,3 +270,25 @@ def test_documents_are_searched_in_passes(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "PAIRS_PER_PASS", 100)
     again = QUERIES["doc_neardup_topk"](spark, sf_dir)
     assert len(again.inputFiles()) >= 2 and again.exceptAll(found).isEmpty() and again.count() == found.count() > 0
+
+
+def test_documents_that_share_an_id_are_one_as_sql_has_it(spark, tmp_path, monkeypatch):
+    """Rows with the same doc_id, in one or several languages; no language; words of few and of many documents; the frequencies in slices."""
+    import random
+
+    import duckdb
+
+    from linkora.operators import nearest
+
+    rng = random.Random(3)
+    words = [f"w{i}é" for i in range(60)]
+    rows = [(i % 450, " ".join(words[min(59, int(rng.expovariate(0.08)))] for _ in range(rng.randrange(0, 25))), rng.choice(["de", "en", None])) for i in range(500)]
+    rows += [(None, "w1é w2é", "en"), (700, None, "en"), (701, "W1É, w2é!", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = comparable(con.sql(oracle.ORACLE_SQL["doc_neardup_topk"]).df())
+    assert comparable(QUERIES["doc_neardup_topk"](spark, f"file://{tmp_path}").toPandas()) == wanted and len(wanted) > 20
+    monkeypatch.setattr(nearest, "WORDS_AT_ONCE", 20)
+    monkeypatch.setattr(nearest, "TILE", 7)
+    assert comparable(QUERIES["doc_neardup_topk"](spark, f"file://{tmp_path}").toPandas()) == wanted
