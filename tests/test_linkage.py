@@ -292,3 +292,19 @@ def test_documents_that_share_an_id_are_one_as_sql_has_it(spark, tmp_path, monke
     monkeypatch.setattr(nearest, "WORDS_AT_ONCE", 20)
     monkeypatch.setattr(nearest, "TILE", 7)
     assert comparable(QUERIES["doc_neardup_topk"](spark, f"file://{tmp_path}").toPandas()) == wanted
+
+
+def test_records_of_one_text_are_linked_once_and_all_returned(spark, sf_dir):
+    x = Linkage(spark, sf_dir)
+    x.entities = spark.createDataFrame([(f"S1-{i}", f"green leaf {i} bakery", f"{i} polk street", "US") for i in range(6)], "entity_id string, business_name string, business_address string, country string")
+    rows = [(f"S{2 + i % 2}-{i}", "Green Leaf 3 Bakery", "3 Polk St", "US", "S1-3" if i % 3 else None) for i in range(20)]
+    rows += [("S2-50", "Green Leaf 3 Bakery", None, "US", "S1-3"), ("S2-51", "Green Leaf 3 Bakery", "", "US", "S1-3"), ("S3-52", None, "3 Polk St", "US", None), ("S3-53", "Green Leaf 3 Bakery", "3 Polk St", None, None)]
+    x.records = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string, true_s1 string")
+    assert sum(part.count() for part in x.q_parts) == 5
+    assert sorted(r.entity_id for r in x.q_rows.collect()) == sorted(r[0] for r in rows)
+    found = x.features.collect()
+    assert {r.q_id for r in found} == {r[0] for r in rows} - {"S3-53"} and all(r.q_src == int(r.q_id[1]) for r in found)
+    same = {tuple(r[c] for c in ("s_id", *features.FEATURES) if c != "q_src") for r in found if r.q_id not in ("S2-50", "S2-51", "S3-52")}
+    assert len(same) == len({s for s, *_ in same}) and len(same) * 20 == sum(r.q_id not in ("S2-50", "S2-51", "S3-52") for r in found)
+    pairs = {(r.q_id, r.s_id): r for r in queries._pairs(x).collect()}
+    assert len(pairs) == len(found) and pairs["S3-1", "S1-3"].y == 1 and pairs["S2-0", "S1-3"].y == 0 and pairs["S2-0", "S1-3"].grp == "S2-0"
